@@ -31,27 +31,21 @@ def base_counts(docs: DataFrame) -> DataFrame:
         .withColumn("bits", F.ceil(F.log2(F.col("n") + F.lit(2))).cast("int"))
         .withColumn("lines", F.expr(rf"filter(split(t, '\n'), l -> l rlike '{WORD_CHAR.replace(chr(92), chr(92) * 2)}')"))
     )
-    keys = t.withColumn(
-        "keys",
-        F.expr(
-            "sort_array(transform(slice(w, 1, greatest(n - 2, 0)),"
-            " (x, i) -> shiftleft(xxhash64(x, w[i + 1], w[i + 2]), bits) | cast(i as bigint)))"
-        ),
-    ).withColumn("mask", F.expr("shiftleft(1L, bits) - 1"))
-    same = (
-        "(shiftright({a}, bits) = shiftright({b}, bits)"
-        " and w[int({a} & mask)] = w[int({b} & mask)]"
-        " and w[int({a} & mask) + 1] = w[int({b} & mask) + 1]"
-        " and w[int({a} & mask) + 2] = w[int({b} & mask) + 2])"
+    # Each transform(array(x), v -> ...)[0] binds v, so that x is computed once however often v is read.
+    same = " and ".join(
+        ["shiftright({a}, bits) = shiftright(k, bits)"] + [f"w[int({{a}} & mask) + {i}] = w[int(k & mask) + {i}]" for i in range(3)]
     )
-    near = keys.withColumn(
-        "again",
-        F.expr(
-            "filter(keys, (k, j) -> (j > 0 and " + same.format(a="get(keys, j - 1)", b="k") + ")"
-            " or (j < size(keys) - 1 and " + same.format(a="get(keys, j + 1)", b="k") + "))"
-        ),
-    ).withColumn("at", F.expr("sort_array(transform(again, k -> k & mask))"))
-    return near.select(
+    repeated = f"""
+        transform(array(w), w -> transform(array(sort_array(transform(slice(w, 1, greatest(n - 2, 0)),
+            (x, i) -> shiftleft(xxhash64(x, w[i + 1], w[i + 2]), bits) | cast(i as bigint)))),
+          keys -> aggregate(
+            sort_array(transform(filter(keys, (k, j) ->
+                (j > 0 and {same.format(a="get(keys, j - 1)")})
+                or (j < size(keys) - 1 and {same.format(a="get(keys, j + 1)")})), k -> k & mask)),
+            named_struct('n', 0L, 'e', 0L),
+            (s, p) -> named_struct('n', s.n + p + 3L - greatest(p, s.e), 'e', p + 3L),
+            s -> s.n))[0])[0]"""
+    return t.withColumn("mask", F.expr("shiftleft(1L, bits) - 1")).select(
         "doc_id",
         "source",
         F.xxhash64("t").alias("th"),
@@ -59,10 +53,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace("t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(
-            "aggregate(at, named_struct('n', 0L, 'e', 0L),"
-            " (s, p) -> named_struct('n', s.n + p + 3L - greatest(p, s.e), 'e', p + 3L), s -> s.n)"
-        ).alias("n_repeat_words"),
+        F.expr(repeated).alias("n_repeat_words"),
     )
 
 
@@ -126,6 +117,21 @@ def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     )
 
 
+def verdicts(docs: DataFrame, min_docs: int, share: float, min_left_pct: int) -> DataFrame:
+    """Base counts and removed lines per document row, with ``base_failed`` and ``kept``."""
+    base = base_counts(docs).withColumn("host", F.coalesce("source", F.lit("")))
+    cut = removed_lines(docs, frequent_lines(docs, min_docs, share))
+    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PCT)
+    left = F.col("n_words") - F.coalesce("cut_words", F.lit(0))
+    return base.join(cut, same_row(base, cut, "doc_id", "th", "host"), "left").select(
+        *[base[c] for c in base.columns],
+        "cut_lines",
+        F.coalesce("cut_words", F.lit(0).cast("long")).alias("n_line_words"),
+        failed.alias("base_failed"),
+        (~failed & (left * 100 >= F.col("n_words") * min_left_pct)).alias("kept"),
+    )
+
+
 def quality_rules(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = MAX_LINE_SHARE, min_left_pct: int = MIN_LEFT_PCT) -> DataFrame:
     """Counts and verdict per document row.
 
@@ -136,42 +142,22 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float =
     Null text is empty (no words, base_failed), null source is the host '', null doc_id stays null,
     repeated rows each get a row, an empty table gives no rows, other columns are ignored.
     """
-    base = base_counts(docs).withColumn("host", F.coalesce("source", F.lit("")))
-    cut = removed_lines(docs, frequent_lines(docs, min_docs, share))
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PCT)
-    left = F.col("n_words") - F.coalesce("cut_words", F.lit(0))
-    return (
-        base.join(cut, same_row(base, cut, "doc_id", "th", "host"), "left")
-        .select(
-            base["doc_id"],
-            "n_words",
-            "word_chars",
-            "n_symbols",
-            "n_dup_lines",
-            "n_repeat_words",
-            failed.alias("base_failed"),
-            (~failed & (left * 100 >= F.col("n_words") * min_left_pct)).alias("kept"),
-            F.coalesce("cut_words", F.lit(0).cast("long")).alias("n_line_words"),
-        )
+    return verdicts(docs, min_docs, share, min_left_pct).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_line_words"
     )
 
 
-def apply_rules(docs: DataFrame, **limits) -> DataFrame:
+def apply_rules(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = MAX_LINE_SHARE, min_left_pct: int = MIN_LEFT_PCT) -> DataFrame:
     """The documents that ``quality_rules`` keeps, without their frequent lines, same columns.
 
     ``n_chars`` follows the text. Rules are those of ``quality_rules``.
     """
-    verdict_limits = {k: v for k, v in limits.items() if k in ("min_docs", "share")}
-    cut = removed_lines(docs, frequent_lines(docs, **verdict_limits))
-    base = base_counts(docs).withColumn("host", F.coalesce("source", F.lit("")))
-    min_left_pct = limits.get("min_left_pct", MIN_LEFT_PCT)
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PCT)
-    left = F.col("n_words") - F.coalesce("cut_words", F.lit(0))
+    # Grouped before it is filtered: a filter on plain columns would be pushed down and count again.
     verdict = (
-        base.join(cut, same_row(base, cut, "doc_id", "th", "host"), "left")
-        .filter(~failed & (left * 100 >= F.col("n_words") * min_left_pct))
-        .select(base["doc_id"], base["th"], base["host"], "cut_lines")
-        .dropDuplicates(["doc_id", "th", "host"])
+        verdicts(docs, min_docs, share, min_left_pct)
+        .groupBy("doc_id", "th", "host")
+        .agg(F.max("kept").alias("kept"), F.first("cut_lines").alias("cut_lines"))
+        .filter("kept")
     )
     whole = docs.select(F.struct("*").alias("row")).select(
         "row", F.col("row.doc_id").alias("doc_id"), F.coalesce("row.source", F.lit("")).alias("host"), F.xxhash64(text_of("row.text")).alias("th")
