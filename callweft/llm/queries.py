@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callweft.llm.jaccard_join import jaccard_join
 from callweft.llm.line_quality import quality_rules
 from callweft.llm.packing import pack_documents
 from callweft.llm.secrets import secret_scan
@@ -32,10 +33,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_secret_scan, op7_quality_rules, op8_packing, op9_token_counts)
+        for f in (op2_secret_scan, op7_quality_rules, op8_packing, op9_token_counts, op10_jaccard_join)
     }
 
 
