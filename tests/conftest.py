@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, os.environ.get("PYT
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
