@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callweft.llm.decontaminate import contained_items
 from callweft.llm.jaccard_join import jaccard_join
 from callweft.llm.line_quality import quality_rules
 from callweft.llm.packing import pack_documents
 from callweft.llm.secrets import secret_scan
+from callweft.llm.sentence_dedup import sentence_dedup
 from callweft.llm.token_counts import token_counts
 
 
@@ -17,10 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -40,7 +50,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_secret_scan, op7_quality_rules, op8_packing, op9_token_counts, op10_jaccard_join)
+        for f in (op1_decontaminate, op2_secret_scan, op6_sentence_dedup, op7_quality_rules, op8_packing, op9_token_counts, op10_jaccard_join)
     }
 
 

@@ -1,0 +1,58 @@
+"""The pipeline's stages against brute force, each on its own input, and as a whole."""
+
+import random
+import re
+
+import corpus_pipeline as cp
+from odd import DOC_SCHEMA, doc_rows, odd_docs
+from test_jaccard import brute as brute_components
+from test_native import brute_base, brute_spans
+from test_search import prose, shingles
+from test_tokens import check_packing
+
+
+def redacted(text):
+    out, at = "", 0
+    for s, _, e in brute_spans(text)[1]:
+        if s >= at:
+            out += text[at:s] + "[SECRET]"
+        at = max(at, e)
+    return out + (text or "")[at:]
+
+
+def test_stages_and_run_agree_with_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    items = [(i, prose(rng, 30)) for i in range(5)]
+    texts = [prose(rng, rng.choice([20, 70, 300])) for _ in range(60)]
+    texts += [texts[-1] + " one more", texts[-1], "rep eat it " * 60]
+    texts += [prose(rng, 60) + " " + items[2][1] + " " + prose(rng, 60), prose(rng, 80) + ' token = "0123abcd0123abcd9876fedc9876fedc" ' + prose(rng, 5)]
+    odd_docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = []
+    for doc_id, text in rows:
+        if not brute_base(text)[5]:
+            kept.append((doc_id, text))
+    step = cp.STAGES[0][1](spark, docs, str(tmp_path))
+    assert step.schema == docs.schema and sorted(map(str, ((r.doc_id, r.text) for r in step.collect()))) == sorted(map(str, kept))
+    firsts = {c for _, n, c in brute_components(kept, 5, 80, 100)}
+    step = cp.STAGES[1][1](spark, step, str(tmp_path))
+    kept = [r for r in kept if r[0] in firsts]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in step.collect()))) == sorted(map(str, kept))
+    bad = [shingles(t) for _, t in items]
+    kept = [r for r in kept if not any(len(b & shingles(r[1])) * 100 >= 80 * len(b) for b in bad)]
+    step = cp.STAGES[2][1](spark, step, str(tmp_path))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in step.collect()))) == sorted(map(str, kept))
+    kept = [(d, redacted(t)) for d, t in kept]
+    step = cp.STAGES[3][1](spark, step, str(tmp_path))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in step.collect()))) == sorted(map(str, kept))
+    assert any("[SECRET]" in t for _, t in kept) and not any(re.search("0123abcd0123", t) for _, t in kept)
+    check_packing(cp.run(spark, str(tmp_path)).collect(), step.collect(), 1024)
+
+
+def test_an_empty_corpus(spark, tmp_path):
+    spark.createDataFrame([], DOC_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    assert doc_rows([]) == []
