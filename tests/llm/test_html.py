@@ -1,0 +1,70 @@
+"""Extraction from pages whose article is known."""
+
+import re
+from html import escape
+
+from callweft.llm.html_extract import extract_text, main_text
+
+P1 = "First paragraph of the story, with commas, length and some more words to read."
+P2 = "Second paragraph & its <odd> characters, étonnant, goes on for a while longer."
+P3 = "A third one, which is here so that the article has a body, not just a line."
+
+
+def page(body, head="<title>T</title><style>p{}</style>"):
+    return f"<!DOCTYPE html><html><head>{head}</head><body>{body}</body></html>"
+
+
+def paragraphs(*texts):
+    return "".join(f"<p>{escape(t)}</p>" for t in texts)
+
+
+MENU = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News, sport, weather</a></li></ul></nav>"
+FOOT = "<footer>&copy; 2020 Someone &middot; all rights, terms, privacy and so on in a long line</footer>"
+WANT = "\n".join((P1, P2, P3))
+
+
+def test_the_article_is_kept_and_all_else_goes():
+    cases = [
+        MENU + "<div class='ad'>Buy now, cheap, good, and many more reasons to buy it today.</div><article>" + paragraphs(P1, P2, P3) + "</article>" + FOOT,
+        MENU + "<div id='content'>" + paragraphs(P1, P2, P3) + "</div><div class='side-bar sidebar'>" + paragraphs("Also here, a long text of the sidebar, which isn't wanted.") + "</div>" + FOOT,
+        "<header><h1>Site</h1></header><main><section>" + paragraphs(P1) + "</section><section>" + paragraphs(P2, P3) + "</section></main><section id=comments><p>I, for one, liked this very much, thanks a lot to the author!</p></section>",
+        "<div class=wrap><div class=cookie-notice>We use cookies, lots of them, to make this site better, faster.</div><div>" + paragraphs(P1, P2, P3) + "</div><form><p>Your name, please, and address, and more, and more.</p><input></form></div>",
+        "<script>var t = '<p>no, no, no</p>'; if (a < b) {}</script><article><p><b>" + escape(P1) + "<br><p>" + escape(P2) + "<p>" + escape(P3) + "</article><!-- <p>gone, gone, gone and gone again and again</p> -->",
+        "<article>" + paragraphs(P1, P2, P3) + "<div class='comments'><article class=comment>" + paragraphs("A comment, by a reader, which is long enough to count.") + "</article></div></article>",
+    ]
+    for body in cases:
+        assert main_text(page(body)) == WANT, body
+
+
+def test_headings_lists_and_white_space_stay_in_page_order():
+    body = "<article><h1> A\n title </h1><p>One,\t two&nbsp;three &#233; &amp;amp; <i>in</i>line <b>bold</b>, and more of it.</p><ul><li>first item<li>second item</ul><p>End of the story, dear reader, good night.</p></article>"
+    assert main_text(page(body)) == "A title\nOne, two three é &amp; inline bold, and more of it.\nfirst item\nsecond item\nEnd of the story, dear reader, good night."
+
+
+def test_broken_pages():
+    assert main_text(None) == main_text("") == main_text("<html><body><nav>x</nav>") == main_text("<!-- never closed <p>a</p>") == ""
+    assert main_text("<article><p>" + P1 + "<div class=\"ad") == P1
+    assert main_text("<p>" + P1) == P1
+    assert main_text("<article><p>" + P1 + " &am") == P1 + " &am"
+    assert main_text("just words, no markup at all, but enough of them") == "just words, no markup at all, but enough of them"
+    assert main_text("<article>" + "<div>" * 3000 + "<p>" + P1) == P1
+    assert main_text("<article><p>a < b and, so, c > d in this long paragraph") == "a < b and, so, c > d in this long paragraph"
+
+
+def test_over_given_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r for r in extract_text(rows.withColumn("text", rows["url"]).withColumn("w", rows["url"])).collect()}
+    for r in rows.collect():
+        inside = re.search("<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
+        blocks = [" ".join(re.sub("&amp;?", "&", re.sub("&quot;", '"', re.sub("<[^>]*>", "", b))).split()) for b in re.split("</?(?:p|h1)>", inside)]
+        assert got[r.page_id].text == "\n".join(b for b in blocks if b) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, None, "x"), (None, "u", "", "x"), (2, "u", page("<article>" + paragraphs(P1) + "</article>"), "x"), (2, "u", page("<article>" + paragraphs(P1) + "</article>"), "x")]
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    want = [(1, None, "", 0), (None, "u", "", 0), (2, "u", P1, len(P1)), (2, "u", P1, len(P1))]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    long = "<article>" + paragraphs(*[P1] * 20000) + "</article>"
+    assert main_text(long) == "\n".join([P1] * 20000)
