@@ -13,6 +13,7 @@ from callweft.llm.line_quality import quality_rules
 from callweft.llm.packing import pack_documents
 from callweft.llm.secrets import secret_scan
 from callweft.llm.sentence_dedup import sentence_dedup
+from callweft.llm.suffix_dedup import suffix_dedup
 from callweft.llm.token_counts import token_counts
 
 
@@ -28,6 +29,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -55,7 +60,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontaminate, op2_secret_scan, op4_html_extract, op6_sentence_dedup, op7_quality_rules, op8_packing, op9_token_counts, op10_jaccard_join)
+        for f in (op1_decontaminate, op2_secret_scan, op3_suffix_dedup, op4_html_extract, op6_sentence_dedup, op7_quality_rules, op8_packing, op9_token_counts, op10_jaccard_join)
     }
 
 
