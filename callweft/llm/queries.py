@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from callweft.llm.decontaminate import contained_items
 from callweft.llm.html_extract import extract_text
 from callweft.llm.jaccard_join import jaccard_join
+from callweft.llm.license_scan import license_scan
 from callweft.llm.line_quality import quality_rules
 from callweft.llm.packing import pack_documents
 from callweft.llm.secrets import secret_scan
@@ -37,6 +38,10 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_dedup(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontaminate, op2_secret_scan, op3_suffix_dedup, op4_html_extract, op6_sentence_dedup, op7_quality_rules, op8_packing, op9_token_counts, op10_jaccard_join)
+        for f in (op1_decontaminate, op2_secret_scan, op3_suffix_dedup, op4_html_extract, op5_license_scan, op6_sentence_dedup, op7_quality_rules, op8_packing, op9_token_counts, op10_jaccard_join)
     }
 
 
