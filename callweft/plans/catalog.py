@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from callweft.plans import table_queries
+
 FLAGSHIP = "trace_reach_depth"
 
 
 def queries():
-    return {}
+    return dict(table_queries.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(table_queries.SQL)
