@@ -2,13 +2,14 @@
 
 The columns of the incidence matrix are taken in one global order, rare n-grams first. A document's
 first block holds its ``n - ceil(t*n) + 1`` first columns: two documents with a Jaccard index of at
-least ``t`` share a column there. The product over first blocks accumulates overlap counts for pairs;
-bounds that follow from the two sizes and from the place of the shared column discard pairs that can't
-reach ``t`` any more; for the survivors the product is completed over all columns, exactly.
+least ``t`` share a column there. The product over first blocks accumulates overlap counts for pairs.
+Bounds discard pairs that can't reach ``t`` any more: one from the two sizes and the place of the shared
+column, one from the sizes of both rows in each of 2^BLOCK_BITS blocks of columns (the overlap is at most the
+sum of the lesser sizes). For the survivors the product is completed over all columns, exactly.
 
 Equal sets are one row of the matrix from the start. Within a column the product is taken against a
 few hub rows a round, never for all pairs of its rows: rows that a verified link has put in one component
-need no further product, and later rounds take more hubs (1, 4, 16, ...) from columns that still hold
+need no further product, and later rounds take more hubs (1, 16, 256, ...) from columns that still hold
 several components, until none is left untested.
 """
 
@@ -20,13 +21,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_digest
 
 from callweft.llm.common import Scratch, text_of
 from callweft.llm.wordhash import WordHashes, ascii_words, windows
 
 #: Log2 of the counters of the column order; its size (1 MB) doesn't depend on the data.
 SKETCH_BITS = 18
+#: Log2 of the column blocks whose sizes bound an overlap.
+BLOCK_BITS = 7
+#: Rows of ids that may be broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def ngram_set(hashes: WordHashes, text: str | None, k: int) -> np.ndarray:
@@ -44,8 +49,9 @@ def column_counts(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, total = WordHashes(), np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                total += np.bincount((ngram_set(hashes, text, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+            for some in np.array_split(batch["text"].to_numpy(), 1 + len(batch) // 500):
+                grams = np.concatenate([ngram_set(hashes, text, k) for text in some]) if len(some) else np.empty(0, np.uint64)
+                total += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
         yield pd.DataFrame({"counts": [total.astype("<i4").tobytes()]})
 
     def add(total: np.ndarray, row) -> np.ndarray:
@@ -60,30 +66,34 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def incidence(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """Per document row: doc_id, th (hash of its text), n (set size), node (hash of its set), first block."""
+    """Per document row: doc_id, th (hash of its text), n (set size), node (hash of its set), its first block, sizes in column blocks."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, order = WordHashes(), shared.value
         for batch in batches:
-            n, node, block = [], [], []
+            n, node, block, sizes = [], [], [], []
             for text in batch["text"]:
                 grams = ngram_set(hashes, text, k)
                 n.append(len(grams))
-                node.append(xxh3_128_digest(grams.tobytes()))
+                node.append(int.from_bytes(xxh3_64_digest(grams.tobytes()), "little", signed=True))
+                sizes.append(np.bincount((grams >> np.uint64(64 - BLOCK_BITS)).astype(np.int64), minlength=1 << BLOCK_BITS).astype(np.int32))
                 if len(grams):
                     rank = order[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     grams = grams[np.lexsort((grams, rank))[: prefix_length(len(grams), num, den)]]
                 block.append(grams.view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "n": n, "node": node, "block": block})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "n": n, "node": node, "block": block, "sizes": sizes})
 
     keyed = docs.select(F.col("doc_id").cast("string"), F.xxhash64(text_of()).alias("th"), "text")
-    out = keyed.mapInPandas(rows, "doc_id string, th long, n long, node binary, block array<long>")
+    out = keyed.mapInPandas(rows, "doc_id string, th long, n long, node long, block array<long>, sizes array<int>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def full_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, grams): the whole matrix rows of the wanted nodes, made again from one text of each."""
+    """(node, grams): the whole matrix rows of the wanted nodes, made again from one text of each.
+
+    Few wanted ids are broadcast, so that texts stay where they are; many are joined by a shuffle.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -91,9 +101,11 @@ def full_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             grams = [ngram_set(hashes, text, k).view(np.int64) for text in batch["text"]]
             yield pd.DataFrame({"node": batch["node"], "grams": grams})
 
+    few = wanted.count() <= BROADCAST_ROWS
+    ids = F.broadcast(wanted) if few else wanted
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("text_hash"), "text")
-    joined = texts.join(wanted, texts["id"].eqNullSafe(wanted["rep_id"]) & (texts["text_hash"] == wanted["rep_th"]))
-    return joined.select("node", "text").mapInPandas(rows, "node binary, grams array<long>")
+    joined = texts.join(ids, texts["id"].eqNullSafe(wanted["rep_id"]) & (texts["text_hash"] == wanted["rep_th"]))
+    return joined.select("node", "text").mapInPandas(rows, "node long, grams array<long>")
 
 
 def reaches(overlap: Column, n: Column, m: Column, num: int, den: int) -> Column:
@@ -136,24 +148,22 @@ def join_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.keep(incidence(docs, k, num, den, column_counts(docs, k)), "incidence")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-    nodes = scratch.keep(
-        rows.filter("n > 0").groupBy("node").agg(first, F.first("n").alias("n"), F.first("block").alias("block")), "nodes"
-    )
+    some = F.first(F.struct("n", "block", "sizes")).alias("row")
+    nodes = scratch.keep(rows.filter("n > 0").groupBy("node").agg(first, some).select("node", "first", "row.*"), "nodes")
     entries = nodes.select("node", "n", F.posexplode("block").alias("i", "g"))
     several = entries.groupBy("g").agg(F.count("*").alias("rows")).filter("rows > 1").select("g")
     entries = scratch.keep(entries.join(several, "g", "left_semi"), "entries")
-    wanted = entries.select("node").distinct().join(nodes, "node").select("node", F.col("first.doc_id").alias("rep_id"), F.col("first.th").alias("rep_th"))
-    full = scratch.keep(full_rows(docs, wanted, k), "rows")
-    links, labels, turn = None, None, 0
+    full, links, labels, turn = None, None, None, 0
     while True:
         now = entries.withColumn("comp", F.col("node"))
         if labels is not None:
             now = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_columns = now.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("g")
         now = scratch.keep(now.join(open_columns, "g", "left_semi"), "open")
+        scratch.drop(entries)
         if now.isEmpty():
             break
-        salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(4**turn))
+        salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(16**turn))
         hubs = now.groupBy("g", salt.alias("salt")).agg(F.min(F.struct("i", "n", "node", "comp")).alias("hub")).select("g", "hub")
         hubs = scratch.keep(hubs, "hubs")
         reachable = reaches(F.least(F.col("n") - F.col("i"), F.col("hub.n") - F.col("hub.i")), F.col("n"), F.col("hub.n"), num, den)
@@ -165,15 +175,29 @@ def join_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             .groupBy("a", "b")
             .agg(F.count("*").alias("shared"))
         )
+        one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sizes").alias("sa"))
+        two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sizes").alias("sb"))
+        most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+        pairs = pairs.join(one, "a").join(two, "b").filter(reaches(most, F.col("na"), F.col("nb"), num, den)).select("a", "b")
+        pairs = scratch.keep(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if full is not None:
+            wanted = wanted.join(full, "node", "left_anti")
+        reps = nodes.select("node", F.col("first.doc_id").alias("rep_id"), F.col("first.th").alias("rep_th"))
+        wanted = scratch.keep(wanted.join(reps, "node"), "wanted")
+        more = scratch.keep(full_rows(docs, wanted, k), "rows")
+        full = more if full is None else full.union(more)
         one = full.select(F.col("node").alias("a"), F.col("grams").alias("x"))
         two = full.select(F.col("node").alias("b"), F.col("grams").alias("y"))
         overlap = F.size(F.array_intersect("x", "y"))
         verified = pairs.join(one, "a").join(two, "b").filter(reaches(overlap, F.size("x"), F.size("y"), num, den)).select("a", "b").distinct()
         found = scratch.keep(verified, "links")
-        links = found if links is None else links.union(found)
-        labels = components(links, scratch)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links, scratch)
         left = now.drop("comp").join(hubs.select("g", F.col("hub.node").alias("node")), ["g", "node"], "left_anti")
         entries = scratch.keep(left, "entries")
+        scratch.drop(now)
         turn += 1
     named = nodes.select("node", "first")
     if labels is not None:
