@@ -11,6 +11,7 @@ from callweft.llm.html_extract import extract_text
 from callweft.llm.jaccard_join import jaccard_join
 from callweft.llm.license_scan import license_scan
 from callweft.llm.line_quality import quality_rules
+from callweft.llm.oracles import SQL
 from callweft.llm.packing import pack_documents
 from callweft.llm.secrets import secret_scan
 from callweft.llm.sentence_dedup import sentence_dedup
@@ -70,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
