@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from callweft.plans import table_queries
+from callweft.plans import code_queries, table_queries
 
 FLAGSHIP = "trace_reach_depth"
 
 
 def queries():
-    return dict(table_queries.QUERIES)
+    return {**table_queries.QUERIES, **code_queries.QUERIES}
 
 
 def oracle_sql():
-    return dict(table_queries.SQL)
+    return {**table_queries.SQL, **code_queries.SQL}
