@@ -63,9 +63,10 @@ def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str)
     A text is joined on its own beginnings of the lengths that occur among the prefixes, so this is an
     equi-join whatever the number of prefixes.
     """
-    lengths = F.broadcast(prefixes.agg(F.collect_set(F.length(prefix)).alias("_lengths")))
-    begins = rows.select(text).distinct().join(lengths, how="left")
-    begins = begins.select(text, F.explode("_lengths").alias("_n")).filter(F.length(text) >= F.col("_n"))
+    # As many lengths as the longest prefix has characters, at most.
+    lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().collect() if r[0]]
+    sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    begins = rows.select(text).distinct().select(text, F.explode(sizes).alias("_n")).filter(F.length(text) >= F.col("_n"))
     begins = begins.select(text, F.substring(F.col(text), F.lit(1), F.col("_n")).alias(prefix))
     hits = begins.join(prefixes, prefix)
     rest = [c for c in prefixes.columns if c != prefix]

@@ -161,17 +161,17 @@ k AS (SELECT c_custkey, 1 AS rank, s_suppkey AS target FROM c JOIN s ON s_nation
 SELECT c_custkey, rank, target FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY rank, target) AS n FROM k) WHERE n = 1""")
 def scope_ranked_lookup(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    calls = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey")
-    types = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
+    calls = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey")
+    types = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
     inner = types.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("target"))
     outer = types.groupBy("n_regionkey").agg(F.min("s_suppkey").alias("target"))
-    everywhere = types.agg(F.min("s_suppkey").alias("target")).filter("target is not null")
+    everywhere = types.agg(F.min("s_suppkey").alias("target")).filter("target is not null").withColumn("all", F.lit(1))
     return lookup.ranked_lookup(
         calls.select("c_custkey"),
         "c_custkey",
         calls.join(inner, F.col("c_nationkey") == F.col("s_nationkey")),
         calls.join(outer, "n_regionkey"),
-        calls.join(F.broadcast(everywhere), how="inner"),
+        calls.withColumn("all", F.lit(1)).join(everywhere, "all"),
     )
 
 
@@ -389,7 +389,7 @@ def sort_tests_last(spark, sf_dir):
 @query("""WITH l AS (SELECT n_regionkey AS region, s_nationkey AS nation, s_suppkey AS leaf, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_nationkey, s_suppkey) AS place FROM supplier JOIN nation ON n_nationkey = s_nationkey)
 SELECT region, nation, round(avg(place), 4) AS row_at, count(*) AS leaves FROM l GROUP BY 1, 2""")
 def tree_layout_rows(spark, sf_dir):
-    nation = F.broadcast(table(spark, sf_dir, "nation"))
+    nation = table(spark, sf_dir, "nation")
     leaves = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("region"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("leaf"))
     placed = reach.layout_rows(leaves, "region", ["nation", "leaf"])
     return placed.groupBy("region", "nation").agg(F.round(F.avg("row_at"), 4).alias("row_at"), F.count("*").alias("leaves"))
@@ -399,7 +399,7 @@ def tree_layout_rows(spark, sf_dir):
 SELECT DISTINCT array_to_string(path[1:d], '>') AS prefix, CASE WHEN d > 1 THEN array_to_string(path[1:d - 1], '>') END AS parent, path[d] AS node, d::INT AS depth FROM p, (VALUES (1), (2), (3)) v(d)""")
 def entry_first_reroot(spark, sf_dir):
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    joined = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return reach.entry_first(joined.select(F.array(name("r", "n_regionkey"), name("n", "c_nationkey"), name("c", "c_custkey")).alias("path")))
 
 
@@ -410,7 +410,7 @@ def set_ops(spark, sf_dir):
     a = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
     b = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
     named = lambda kind, df: df.select(F.lit(kind).alias("kind"), "nation")
-    return named("both", a.intersect(b)).unionByName(named("only_supplier", a.exceptAll(b).distinct().join(b, "nation", "left_anti"))).unionByName(named("either", a.union(b).distinct()))
+    return named("both", a.intersect(b)).unionByName(named("only_supplier", a.subtract(b))).unionByName(named("either", a.union(b).distinct()))
 
 
 @query("""SELECT regexp_extract(url, '://([^/]*)', 1) AS host, count(*) AS refs, count(DISTINCT regexp_extract(html, 'lang="([^"]*)"', 1)) AS langs FROM pages GROUP BY 1""")
