@@ -84,14 +84,12 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def at_limits(histogram: DataFrame, limits: DataFrame) -> DataFrame:
     """Kept tokens and fitting documents for any limits (column ``context_limit``), observed or not.
 
-    ``limits`` is a short list of questions; lengths are summed before they meet it.
+    A limit joins the histogram as a length of no documents, and the suffix sums answer it like any other.
     """
-    joined = histogram.join(F.broadcast(limits.select("context_limit").distinct()), F.col("n_tokens") >= 0)
-    fits = F.col("n_tokens") <= F.col("context_limit")
-    return joined.groupBy("context_limit").agg(
-        F.sum(F.when(fits, F.col("n_docs")).otherwise(0)).alias("docs_fitting"),
-        F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")).alias("tokens_kept"),
-    )
+    asked = limits.select(F.col("context_limit").cast("long").alias("n_tokens")).distinct()
+    both = histogram.unionByName(asked.withColumn("n_docs", F.lit(0).cast("long"))).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    table = limit_table(both).join(asked.withColumnRenamed("n_tokens", "context_limit"), "context_limit")
+    return table.select("context_limit", (F.col("docs_total") - F.col("docs_over")).alias("docs_fitting"), "tokens_kept")
 
 
 def length_quantile(table: DataFrame, q: float) -> DataFrame:
