@@ -98,8 +98,9 @@ def full_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            grams = [ngram_set(hashes, text, k).view(np.int64) for text in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "grams": grams})
+            for at in range(0, len(batch), 1000):
+                some = batch.iloc[at : at + 1000]
+                yield pd.DataFrame({"node": some["node"], "grams": [ngram_set(hashes, text, k).view(np.int64) for text in some["text"]]})
 
     few = wanted.count() <= BROADCAST_ROWS
     ids = F.broadcast(wanted) if few else wanted

@@ -6,7 +6,7 @@ import numpy as np
 from xxhash import xxh3_64_intdigest
 
 #: Words whose hashes a task remembers at a time.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
