@@ -31,21 +31,23 @@ def base_counts(docs: DataFrame) -> DataFrame:
         .withColumn("bits", F.ceil(F.log2(F.col("n") + F.lit(2))).cast("int"))
         .withColumn("lines", F.expr(rf"filter(split(t, '\n'), l -> l rlike '{WORD_CHAR.replace(chr(92), chr(92) * 2)}')"))
     )
-    # Each transform(array(x), v -> ...)[0] binds v, so that x is computed once however often v is read.
+    # Each transform(array(x), v -> ...)[0] binds v, so that x is computed once however often v is read,
+    # also where a filter on the result is pushed down to the scan.
     same = " and ".join(
-        ["shiftright({a}, bits) = shiftright(k, bits)"] + [f"w[int({{a}} & mask) + {i}] = w[int(k & mask) + {i}]" for i in range(3)]
+        ["shiftright({a}, v.bits) = shiftright(k, v.bits)"] + [f"v.w[int({{a}} & v.mask) + {i}] = v.w[int(k & v.mask) + {i}]" for i in range(3)]
     )
     repeated = f"""
-        transform(array(w), w -> transform(array(sort_array(transform(slice(w, 1, greatest(n - 2, 0)),
-            (x, i) -> shiftleft(xxhash64(x, w[i + 1], w[i + 2]), bits) | cast(i as bigint)))),
+        transform(array(named_struct('w', w, 'bits', bits, 'mask', shiftleft(1L, bits) - 1)), v ->
+          transform(array(sort_array(transform(slice(v.w, 1, greatest(size(v.w) - 2, 0)),
+            (x, i) -> shiftleft(xxhash64(x, v.w[i + 1], v.w[i + 2]), v.bits) | cast(i as bigint)))),
           keys -> aggregate(
             sort_array(transform(filter(keys, (k, j) ->
                 (j > 0 and {same.format(a="get(keys, j - 1)")})
-                or (j < size(keys) - 1 and {same.format(a="get(keys, j + 1)")})), k -> k & mask)),
+                or (j < size(keys) - 1 and {same.format(a="get(keys, j + 1)")})), k -> k & v.mask)),
             named_struct('n', 0L, 'e', 0L),
             (s, p) -> named_struct('n', s.n + p + 3L - greatest(p, s.e), 'e', p + 3L),
             s -> s.n))[0])[0]"""
-    return t.withColumn("mask", F.expr("shiftleft(1L, bits) - 1")).select(
+    return t.select(
         "doc_id",
         "source",
         F.xxhash64("t").alias("th"),
