@@ -58,7 +58,35 @@ x AS (SELECT doc_id, place, first[1] AS f FROM f WHERE (doc_id, place) <> first)
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS span FROM (SELECT *, (place > coalesce(lag(place) OVER (PARTITION BY doc_id ORDER BY place), -9) + 3)::INT AS fresh FROM x))
 SELECT doc_id, min(place)::INT AS start, (max(place) + 3)::INT AS "end", min(f) AS first_doc_id FROM g GROUP BY doc_id, span"""
 
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SECRETS = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+raw AS (
+  SELECT rid, 0 AS k, 'assign' AS kind, 6 AS least, regexp_split_to_array(t, '{ASSIGN}') AS g, regexp_extract_all(t, '{ASSIGN}') AS m, regexp_extract_all(t, '{ASSIGN}', 2) AS p FROM d
+  UNION ALL SELECT rid, 1, 'access', 20, regexp_split_to_array(t, 'AKIA[A-Z0-9]{{16,}}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{{16,}}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{{16,}}') FROM d
+  UNION ALL SELECT rid, 2, 'hex', 24, regexp_split_to_array(t, '[0-9a-f]{{24,}}'), regexp_extract_all(t, '[0-9a-f]{{24,}}'), regexp_extract_all(t, '[0-9a-f]{{24,}}') FROM d
+  UNION ALL SELECT rid, 3, 'entropy', 20, regexp_split_to_array(t, '[A-Za-z0-9+/_=-]{{20,}}'), regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{20,}}'), regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{20,}}') FROM d),
+x AS (SELECT rid, k, kind, m[i] AS v, list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw) WHERE length(p[i]) >= least),
+y AS (SELECT *, s + length(v) AS e, row_number() OVER () AS n FROM x),
+base AS (SELECT * FROM y WHERE k < 3),
+cand AS (SELECT * FROM y WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+  AND NOT regexp_matches(v, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$')
+  AND NOT regexp_matches(v, '(?i)0123456789|abcdefghij|example|placeholder|changeme|dummy|xxxx')
+  AND NOT regexp_matches(v, '^/?[a-z0-9_-]+(/[a-z0-9_-]+){{2,}}/?$')
+  AND len(list_filter(range(1, length(v) - 4), lambda i: substr(v, i, 6) = repeat(substr(v, i, 1), 6))) = 0
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = y.rid AND b.s <= y.s AND b.e >= y.e)),
+h AS (SELECT n, i, -sum(c / 20.0 * log2(c / 20.0)) AS bits FROM (
+    SELECT n, i, ch, count(*) AS c FROM (SELECT n, i, unnest(string_split(substr(v, i, 20), '')) AS ch FROM (SELECT n, v, unnest(range(1, length(v) - 18)) AS i FROM cand)) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+added AS (SELECT cand.* FROM cand JOIN (SELECT n, max(bits) AS bits FROM h GROUP BY 1) USING (n) WHERE bits >= CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN 3.0 ELSE 3.9 END),
+b AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORDER BY s, k) AS spans FROM base GROUP BY 1),
+a AS (SELECT rid, string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORDER BY s, k) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
+FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
+
 SQL = {
+    "op2_secret_scan": SECRETS,
     "op1_decontaminate": DECONTAMINATE,
     "op6_sentence_dedup": SENTENCES,
     "op7_quality_rules": QUALITY,
