@@ -26,8 +26,8 @@ from xxhash import xxh3_64_digest
 from callweft.llm.common import Scratch, text_of
 from callweft.llm.wordhash import WordHashes, ascii_words, windows
 
-#: Log2 of the counters of the column order; its size (1 MB) doesn't depend on the data.
-SKETCH_BITS = 18
+#: Log2 of the counters of the column order; its size (8 MB) doesn't depend on the data.
+SKETCH_BITS = 20
 #: Log2 of the column blocks whose sizes bound an overlap.
 BLOCK_BITS = 7
 #: Rows of ids that may be broadcast (16 bytes each); more are joined by a shuffle.
