@@ -1,0 +1,34 @@
+"""Rules of the operators' code that tests of results can't see."""
+
+import inspect
+import re
+
+import corpus_pipeline
+
+from callweft.llm import decontaminate, jaccard_join, line_quality, packing, secrets, sentence_dedup, suffix_dedup, token_counts
+from callweft.llm import queries as q
+
+
+def test_native_operators_run_no_python_on_executors(spark):
+    for name in ("op2_secret_scan", "op7_quality_rules"):
+        plan = q.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_no_cross_joins_and_no_local_checkpoints():
+    for module in (decontaminate, jaccard_join, line_quality, packing, secrets, sentence_dedup, suffix_dedup, token_counts, corpus_pipeline):
+        source = inspect.getsource(module)
+        assert "crossJoin" not in source and "localCheckpoint" not in source
+
+
+def test_scans_read_the_columns_that_are_needed(spark):
+    plan = q.op4_html_extract(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ReadSchema: struct<page_id:bigint,url:string,html:string>", plan)
+    plan = q.op9_token_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ReadSchema: struct<text:string>", plan)
+    plan = q.op5_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInPandas") < plan.index("Filter")
+
+
+def test_stages_are_five_and_named():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "benchmark_decontamination", "secret_scan", "packing"]
