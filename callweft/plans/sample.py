@@ -49,6 +49,13 @@ public with sharing class Billing {
     "/w/src/classes/Job.cls": "public class Job implements Queueable { public void execute(QueueableContext c) { } }",
     "/w/src/triggers/DoneTrigger.trigger": "trigger DoneTrigger on Done__e (after insert) { Saver.save(); }",
     "/w/src/classes/SaverTest.cls": "@isTest private class SaverTest { @isTest static void works() { Saver.save(); } }",
+    "/w/src/classes/Account2.cls": """public class Account2 {
+    public Integer total { get { return count(); } set { audit(value); } }
+    public String plain { get; set; }
+    private Integer count() { return 1; }
+    private void audit(Integer v) { }
+    public static void use(Account2 a) { a.total = 3; Integer t = a.total; a.plain = 'x'; }
+}""",
     "/w/src/lwc/panel/panel.js": "import save from '@salesforce/apex/Saver.save';",
     "/w/src/aura/Box/Box.cmp": '<aura:component controller="Saver"></aura:component>',
     "/w/src/aura/Box/BoxController.js": "({ go: function(cmp) { cmp.get('c.save'); } })",
