@@ -165,14 +165,17 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFr
     shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     kept = scratch.keep(with_context(docs, every.join(shared, "key", "left_semi"), least), "context")
     scratch.drop(every)
-    order = ["key", "right", "left", "doc_id", "th", "pos"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Ranges are cut by a short beginning of the words after the key, which goes to the driver in samples; a group
+    # that is larger than a partition is cut further by the hash of all its words, then by the words before and the document.
+    ranges = ["key", F.substring("right", 4 * k + 1, 16), F.xxhash64("right"), F.substring("left", 1, 16), "doc_id", "pos"]
+    order = ["key", "right", "left", "doc_id", "th", "pos"]
+    ranged = kept.repartitionByRange(parts, *ranges).sortWithinPartitions(*order)
     text_ids = ranged.withColumn("doc_id", F.col("doc_id").cast("string"))
     compared = scratch.keep(text_ids.mapInPandas(compare(least, True), COMPARED), "compared")
     # Neighbours in different partitions: the few rows at every edge, sorted together once more.
     seams = compared.filter(F.col("key").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    seams = seams.coalesce(1).sortWithinPartitions(*order).withColumn("doc_id", F.col("doc_id").cast("string"))
+    seams = seams.repartition(1).sortWithinPartitions(*order).withColumn("doc_id", F.col("doc_id").cast("string"))
     across = seams.mapInPandas(compare(least, False), COMPARED)
     spans = compared.unionByName(across).filter(F.col("key").isNull())
     spans = spans.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "start", "end", F.col("other").cast("long").alias("other"))
