@@ -426,3 +426,50 @@ def unresolved_counts(spark, sf_dir):
 @query("SELECT o_custkey, bool_and(o_orderstatus = 'F') AS approximate FROM orders GROUP BY 1")
 def approx_every(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.every(F.col("o_orderstatus") == "F").alias("approximate"))
+
+
+# ---------------------------------------------------------------- many roots, joined catalogs
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, r AS (
+  SELECT 'n' || n_nationkey AS root, 'n' || n_nationkey AS node, 0 AS depth FROM nation WHERE n_regionkey = 1
+  UNION SELECT r.root, e.callee, r.depth + 1 FROM r JOIN edges e ON e.caller = r.node WHERE r.depth < 2)
+SELECT root, depth, count(*) AS nodes FROM (SELECT root, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2) GROUP BY 1, 2""")
+def trace_many_roots(spark, sf_dir):
+    starts = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("root"))
+    return reach.reach_depth(call_graph(spark, sf_dir), starts, 2).groupBy("root", "depth").agg(F.count("*").alias("nodes"))
+
+
+@query("""SELECT user_id, event_type, count(*) AS n, min(ts) AS first_at, arg_min(event_id, (ts, event_id)) AS first_event FROM events GROUP BY 1, 2""")
+def first_construction(spark, sf_dir):
+    """The first site of each key (by time, then id) and how many there are."""
+    firsts = F.min(F.struct("ts", "event_id"))
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), firsts.alias("f")).select("user_id", "event_type", "n", F.col("f.ts").alias("first_at"), F.col("f.event_id").alias("first_event"))
+
+
+@query("""WITH s AS (SELECT l_suppkey AS owner, l_returnflag AS entry, min(l_orderkey) AS seq FROM lineitem GROUP BY 1, 2)
+SELECT owner, string_agg(entry, ',' ORDER BY seq, entry) AS entries FROM s GROUP BY 1""")
+def entry_rollup(spark, sf_dir):
+    """Distinct entries of an owner in the order of their first appearance."""
+    seen = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("owner"), F.col("l_returnflag").alias("entry")).agg(F.min("l_orderkey").alias("seq"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "entry"))), lambda s: s["entry"])
+    return seen.groupBy("owner").agg(F.array_join(ordered, ",").alias("entries"))
+
+
+@query("""SELECT n_name AS name, n AS copies FROM (SELECT p_name AS n_name, count(DISTINCT p_brand) AS n FROM part GROUP BY 1) WHERE n > 1""")
+def duplicate_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count_distinct("p_brand").alias("copies")).filter("copies > 1")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS following FROM orders)
+SELECT o_custkey, o_orderkey, following FROM o WHERE following IS NOT NULL""")
+def next_site_pair(spark, sf_dir):
+    """Each site with the next one of its key (forward as-of along one order)."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderdate").over(w).alias("following")).filter("following IS NOT NULL")
+
+
+@query("""SELECT sha1(string_agg(r_name, '|' ORDER BY r_name))[1:16] AS snapshot FROM region""")
+def snapshot_key(spark, sf_dir):
+    names = F.array_join(F.array_sort(F.collect_list("r_name")), "|")
+    return table(spark, sf_dir, "region").agg(F.substring(F.sha1(names), 1, 16).alias("snapshot"))
