@@ -38,6 +38,8 @@ DROPPED_NAMES = frozenset(
     " subscribe subscription share sharing social related recommended recommendations comment comments disqus reply replies respond discussion"
     " login signup signin search form toolbar pagination pager skip contentinfo complementary".split()
 )
+#: Such words inside longer names (sitefooter, commentlist).
+DROPPED_INSIDE = re.compile(r"sidebar|footer|cookie|advert|breadcrumb|newsletter|navbar|sponsor|popup|masthead|comment(?!ary|ator)|(?:site|page|top)header")
 NEVER_DROPPED = frozenset("html body main article".split())
 SEMANTIC = frozenset("article main".split())
 
@@ -57,8 +59,10 @@ def named_part(tag: str, attrs: str) -> bool:
         return False
     for found in NAMES.findall(attrs):
         for name in found:
-            if name and not DROPPED_NAMES.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())):
-                return True
+            if name:
+                words = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()
+                if DROPPED_INSIDE.search(words) or not DROPPED_NAMES.isdisjoint(re.split(r"[^a-z]+", words)):
+                    return True
     return False
 
 

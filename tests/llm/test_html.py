@@ -31,6 +31,7 @@ def test_the_article_is_kept_and_all_else_goes():
         "<div class=wrap><div class=cookie-notice>We use cookies, lots of them, to make this site better, faster.</div><div>" + paragraphs(P1, P2, P3) + "</div><form><p>Your name, please, and address, and more, and more.</p><input></form></div>",
         "<script>var t = '<p>no, no, no</p>'; if (a < b) {}</script><article><p><b>" + escape(P1) + "<br><p>" + escape(P2) + "<p>" + escape(P3) + "</article><!-- <p>gone, gone, gone and gone again and again</p> -->",
         "<article>" + paragraphs(P1, P2, P3) + "<div class='comments'><article class=comment>" + paragraphs("A comment, by a reader, which is long enough to count.") + "</article></div></article>",
+        "<div id=siteFooter>" + paragraphs("Contact, imprint, terms, and more of the same in a line.") + "</div><div class='entry commentary'>" + paragraphs(P1, P2, P3) + "</div><ul class=commentlist><li>Great, great, great article, and so on and on!</li></ul>",
     ]
     for body in cases:
         assert main_text(page(body)) == WANT, body
