@@ -160,6 +160,8 @@ def join_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         if labels is not None:
             now = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_columns = now.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("g")
+        # Written first: few columns are broadcast from the start, many are joined by a sort that splits hot columns.
+        open_columns = scratch.keep(open_columns, "columns")
         now = scratch.keep(now.join(open_columns, "g", "left_semi"), "open")
         scratch.drop(entries)
         if now.isEmpty():

@@ -22,6 +22,8 @@ LEAST = 50
 K = 8
 #: Sorted neighbours on each side that a suffix is compared with.
 NEIGHBOURS = 2
+#: Rows of a frame that a task hands over at a time.
+FRAME = 4096
 
 
 def slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -80,14 +82,17 @@ def with_context(docs: DataFrame, kept: DataFrame, least: int) -> DataFrame:
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, out = WordHashes(), []
+        frame = lambda: pd.DataFrame(out, columns=["doc_id", "th", "pos", "key", "right", "left"])
         for batch in batches:
-            out = []
             for doc_id, th, text, places, keys in zip(batch["doc_id"], batch["th"], batch["text"], batch["places"], batch["keys"], strict=True):
                 words = (hashes.of(words_of(text)) >> np.uint64(32)).astype(">u4")
                 for at, key in zip(places, keys, strict=True):
                     out.append((doc_id, th, int(at), int(key), words[at : at + least].tobytes(), words[max(0, at - least) : at][::-1].tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "th", "pos", "key", "right", "left"])
+                    if len(out) == FRAME:
+                        yield frame()
+                        out.clear()
+        yield frame()
 
     spots = kept.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "key")).alias("spots"))
     spots = spots.select(F.col("doc_id").alias("id"), F.col("th").alias("text_hash"), F.col("spots.pos").alias("places"), F.col("spots.key").alias("keys"))
