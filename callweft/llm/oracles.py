@@ -51,12 +51,13 @@ SELECT a AS doc_id, coalesce(n, 0) AS n_shingles, min(b) AS component_id FROM r
 SENTENCES = rf"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?]){WS}', '\1' || chr(10), 'g'), '[\n\r]+'),
     lambda x: lower(trim(regexp_replace(x, '{WS}', ' ', 'g')))), lambda x: x <> '') AS s FROM documents),
-r AS (SELECT doc_id, i - 1 AS place, concat_ws(chr(10), s[i], s[i + 1], s[i + 2]) AS k FROM (SELECT doc_id, s, unnest(range(1, len(s) - 1)) AS i FROM s)),
-l AS (SELECT * FROM r WHERE length(k) - length(replace(replace(k, ' ', ''), chr(10), '')) + 1 >= 12),
+w AS (SELECT doc_id, s, i, list_filter(range(3, 13), lambda m: i + m - 1 <= len(s) AND len(string_split(array_to_string(s[i:i + m - 1], ' '), ' ')) >= 12)[1] AS m
+  FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)),
+l AS (SELECT doc_id, i - 1 AS place, i - 1 + m AS stop, array_to_string(s[i:i + m - 1], chr(10)) AS k FROM w WHERE m IS NOT NULL),
 f AS (SELECT *, min((doc_id, place)) OVER (PARTITION BY k) AS first FROM l),
-x AS (SELECT doc_id, place, first[1] AS f FROM f WHERE (doc_id, place) <> first),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS span FROM (SELECT *, (place > coalesce(lag(place) OVER (PARTITION BY doc_id ORDER BY place), -9) + 3)::INT AS fresh FROM x))
-SELECT doc_id, min(place)::INT AS start, (max(place) + 3)::INT AS "end", min(f) AS first_doc_id FROM g GROUP BY doc_id, span"""
+x AS (SELECT doc_id, place, stop, first[1] AS f FROM f WHERE (doc_id, place) <> first),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS span FROM (SELECT *, (place > coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY place), -9))::INT AS fresh FROM x))
+SELECT doc_id, min(place)::INT AS start, max(stop)::INT AS "end", min(f) AS first_doc_id FROM g GROUP BY doc_id, span"""
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 SECRETS = rf"""

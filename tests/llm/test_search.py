@@ -88,9 +88,10 @@ def brute_spans(rows):
         lists[doc_id, text] = [s.lower() for s in parts if s]
     first, runs = {}, []
     for (doc_id, text), s in lists.items():
-        for i in range(len(s) - 2):
-            if sum(x.count(" ") + 1 for x in s[i : i + 3]) >= 12:
-                place, key = (doc_id is None, doc_id or 0, text, i), tuple(s[i : i + 3])
+        for i in range(len(s)):
+            n = next((n for n in range(3, 13) if i + n <= len(s) and sum(x.count(" ") + 1 for x in s[i : i + n]) >= 12), None)
+            if n:
+                place, key = (doc_id is None, doc_id or 0, text, i), tuple(s[i : i + n])
                 runs.append((place, key))
                 first[key] = min(first.get(key, place), place)
     out = {}
@@ -98,9 +99,9 @@ def brute_spans(rows):
         if first[key] != place:
             spans = out.setdefault(place[:3], [])
             if spans and spans[-1][1] >= place[3]:
-                spans[-1] = (spans[-1][0], place[3] + 3, min(spans[-1][2], first[key][1]))
+                spans[-1] = (spans[-1][0], place[3] + len(key), min(spans[-1][2], first[key][1]))
             else:
-                spans.append((place[3], place[3] + 3, first[key][1]))
+                spans.append((place[3], place[3] + len(key), first[key][1]))
     return sorted((None if k[0] else k[1], *s) for k, v in out.items() for s in v)
 
 
@@ -114,6 +115,7 @@ def test_sentence_spans_match_brute_force(spark):
             parts.insert(rng.randint(0, 3), rng.choice(passages))
         texts.append(rng.choice([" ", "\n", ". "]).join(parts))
     texts += [texts[0], texts[1], "Same short. One two. Three.", "Same short. One two. Three.", (passages[0] + " ") * 4]
+    texts += [f"{prose(rng, 20)} " + "".join(f"W{i}!! " for i in range(60)) for _ in range(2)]
     docs = odd_docs(spark, texts)
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
     got = sorted(tuple(r) for r in sd.sentence_dedup(docs).collect() if r.doc_id is not None)
