@@ -168,6 +168,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFr
     scratch = Scratch(docs.sparkSession, "suffixes")
     every = scratch.keep(suffixes(docs, least, k), "suffixes")
     shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = scratch.keep(shared, "shared")  # read back, so that the join below can split a hot key
     kept = scratch.keep(with_context(docs, every.join(shared, "key", "left_semi"), least), "context")
     scratch.drop(every)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
