@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 SPACES = rf"[{SPACE}]+"
 WORD_CHAR = rf"[^{SPACE}]"
+#: Documents that a Python worker gets at a time; whole texts make the usual 10000 too large.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Hand ``BATCH_ROWS`` rows to Python workers at a time, for the jobs that start inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Written intermediate tables of one operator call, in the shared folder.
 
@@ -46,7 +62,8 @@ class Scratch:
         """Write ``df`` and return it as read from its files."""
         self.count += 1
         path = f"{self.base}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
 
-from callweft.llm.common import Scratch, text_of
+from callweft.llm.common import Scratch, small_batches, text_of
 from callweft.llm.wordhash import WordHashes, ascii_words, windows
 
-#: Log2 of the counters of the column order; its size (8 MB) doesn't depend on the data.
+#: Log2 of the counters of the column order; its size (4 MB) doesn't depend on the data.
 SKETCH_BITS = 20
 #: Log2 of the column blocks whose sizes bound an overlap.
 BLOCK_BITS = 7
@@ -52,13 +52,14 @@ def column_counts(docs: DataFrame, k: int) -> np.ndarray:
             for some in np.array_split(batch["text"].to_numpy(), 1 + len(batch) // 500):
                 grams = np.concatenate([ngram_set(hashes, text, k) for text in some]) if len(some) else np.empty(0, np.uint64)
                 total += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        yield pd.DataFrame({"counts": [total.astype("<i4").tobytes()]})
+        yield pd.DataFrame({"counts": [total.astype("<f4").tobytes()]})
 
     def add(total: np.ndarray, row) -> np.ndarray:
-        return total + (np.frombuffer(row[0], "<i4") if not isinstance(row, np.ndarray) else row)
+        return total + (np.frombuffer(row[0], "<f4") if not isinstance(row, np.ndarray) else row)
 
-    rows = docs.select("text").mapInPandas(count, "counts binary").rdd
-    return rows.treeAggregate(np.zeros(size, np.int64), add, lambda a, b: a + b, 3)
+    with small_batches(docs.sparkSession):
+        rows = docs.select("text").mapInPandas(count, "counts binary").rdd
+        return rows.treeAggregate(np.zeros(size, np.float32), add, lambda a, b: a + b, 3)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
