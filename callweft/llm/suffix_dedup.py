@@ -4,6 +4,8 @@ Only suffixes that start at minimisers are retained: of every ``WINDOW`` consecu
 the one with the least hash. Any passage of ``LEAST`` words that occurs twice starts a retained suffix at
 the same place of both occurrences. The retained suffixes that share their first ``K`` words with another
 are sorted by their words, neighbours are compared, and each match is extended right and left word by word.
+Neighbours are all partners only where few suffixes share their first ``K`` words. In larger groups every
+window of ``LEAST`` words whose least hash is the suffix's is counted by its hash too, so no repeat is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweft.llm.common import Scratch, text_of
-from callweft.llm.wordhash import WordHashes, windows
+from callweft.llm.wordhash import ODD, WordHashes, mix, windows
 
 LEAST = 50
 K = 8
@@ -75,18 +77,37 @@ def suffixes(docs: DataFrame, least: int, k: int) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def with_context(docs: DataFrame, kept: DataFrame, least: int) -> DataFrame:
+def windows_at(grams: np.ndarray, places: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of ``least`` words whose first least gram stands at one of ``places``."""
+    width = least - k + 1
+    starts = np.arange(len(grams) - width + 1)
+    starts = starts[np.isin(starts + np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1), places)]
+    h = np.zeros(len(starts), np.uint64)
+    for step in (*range(0, least - k, k), least - k):
+        h = mix(h * ODD + grams[starts + step])
+    return starts, h
+
+
+def with_context(docs: DataFrame, kept: DataFrame, least: int, k: int) -> DataFrame:
     """The kept suffixes with their first ``least`` words and the ``least`` words before, nearest first.
 
-    Words are 32-bit hashes in binary strings, so that suffixes sort by their words.
+    Words are 32-bit hashes in binary strings, so that suffixes sort by their words. Suffixes that have
+    ``many`` partners come with rows of their windows of ``least`` words too (``h``, a hash, and ``start``).
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, out = WordHashes(), []
-        frame = lambda: pd.DataFrame(out, columns=["doc_id", "th", "pos", "key", "right", "left"])
+        frame = lambda: pd.DataFrame(out, columns=["doc_id", "th", "pos", "key", "right", "left"]).assign(h=None, start=None)
         for batch in batches:
-            for doc_id, th, text, places, keys in zip(batch["doc_id"], batch["th"], batch["text"], batch["places"], batch["keys"], strict=True):
-                words = (hashes.of(words_of(text)) >> np.uint64(32)).astype(">u4")
+            for doc_id, th, text, places, keys, many in zip(*(batch[c] for c in ("doc_id", "th", "text", "places", "keys", "many")), strict=True):
+                whole = hashes.of(words_of(text))
+                words = (whole >> np.uint64(32)).astype(">u4")
+                many = np.asarray(many, bool)
+                if many.any():
+                    starts, h = windows_at(windows(whole, k), np.asarray(places)[many], least, k)
+                    for a in range(0, len(starts), FRAME):
+                        part = {"h": h[a : a + FRAME].view(np.int64), "start": starts[a : a + FRAME].astype(np.int32)}
+                        yield pd.DataFrame({"doc_id": doc_id, "th": th, "pos": None, "key": None, "right": None, "left": None, **part})
                 for at, key in zip(places, keys, strict=True):
                     out.append((doc_id, th, int(at), int(key), words[at : at + least].tobytes(), words[max(0, at - least) : at][::-1].tobytes()))
                     if len(out) == FRAME:
@@ -94,12 +115,12 @@ def with_context(docs: DataFrame, kept: DataFrame, least: int) -> DataFrame:
                         out.clear()
         yield frame()
 
-    spots = kept.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "key")).alias("spots"))
-    spots = spots.select(F.col("doc_id").alias("id"), F.col("th").alias("text_hash"), F.col("spots.pos").alias("places"), F.col("spots.key").alias("keys"))
+    spots = kept.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "key", "many")).alias("spots"))
+    spots = spots.select(F.col("doc_id").alias("id"), F.col("th").alias("text_hash"), F.col("spots.pos").alias("places"), F.col("spots.key").alias("keys"), F.col("spots.many").alias("many"))
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), "text")
     joined = texts.join(spots, texts["doc_id"].eqNullSafe(spots["id"]) & (texts["th"] == spots["text_hash"]))
-    schema = "doc_id string, th long, pos int, key long, right binary, left binary"
-    out = joined.select(F.col("doc_id").cast("string"), "th", "text", "places", "keys").mapInPandas(rows, schema)
+    schema = "doc_id string, th long, pos int, key long, right binary, left binary, h long, start int"
+    out = joined.select(F.col("doc_id").cast("string"), "th", "text", "places", "keys", "many").mapInPandas(rows, schema)
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -140,7 +161,9 @@ def compare(least: int, edges: bool):
                 a = np.flatnonzero(key[step:] == key[:-step])
                 b = a + step
                 r, back = common(right, right_size, a, b), common(left, left_size, a, b)
-                ok = r + back >= least
+                same_id = (doc[a] == doc[b]) | (pd.isna(doc[a]) & pd.isna(doc[b]))
+                itself = (th[a] == th[b]) & (pos[a] == pos[b]) & same_id  # a repeated row
+                ok = (r + back >= least) & ~itself
                 a, b, r, back = a[ok], b[ok], r[ok], back[ok]
                 for x, y in ((a, b), (b, a)):
                     found.append(pd.DataFrame({"doc_id": doc[x], "th": th[x], "start": pos[x] - back, "end": pos[x] + r, "other": doc[y]}))
@@ -159,18 +182,36 @@ def compare(least: int, edges: bool):
 COMPARED = "doc_id string, th long, start int, end int, other string, pos int, key long, right binary, left binary"
 
 
+def settled(scratch: Scratch, places: DataFrame, least: int) -> DataFrame:
+    """doc_id, th, start, end, other: the windows whose hash stands at another place too.
+
+    ``other`` is the least other document that holds the window, or the document itself where no other does.
+    """
+    place = F.xxhash64("doc_id", "th", "start")
+    counted = places.groupBy("h").agg(F.min("doc_id").alias("first"), F.min(place).alias("a"), F.max(place).alias("b"))
+    repeated = scratch.keep(counted.filter("a <> b").select("h", "first"), "repeated")  # read back, as the shared keys are
+    again = scratch.keep(places.join(repeated, "h"), "again")
+    own = F.col("doc_id").eqNullSafe(F.col("first"))
+    second = again.filter(~own).groupBy("h").agg(F.min("doc_id").alias("second"), F.lit(True).alias("more"))
+    of_first = again.filter(own).join(second, "h", "left").withColumn("other", F.when(F.col("more"), F.col("second")).otherwise(F.col("doc_id")))
+    spans = again.filter(~own).withColumn("other", F.col("first")).unionByName(of_first.drop("second", "more"))
+    return spans.select("doc_id", "th", "start", (F.col("start") + least).alias("end"), "other")
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
     """doc_id, th, start, end, other_doc_id: passages [start, end) in words that occur elsewhere too.
 
     Overlapping matches of a document make one passage; ``other_doc_id`` is the least document that a
-    matched neighbour belongs to (the document itself where a passage repeats inside it only).
+    matched partner belongs to (the document itself where a passage repeats inside it only).
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     every = scratch.keep(suffixes(docs, least, k), "suffixes")
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > NEIGHBOURS + 1).alias("many"))
     shared = scratch.keep(shared, "shared")  # read back, so that the join below can split a hot key
-    kept = scratch.keep(with_context(docs, every.join(shared, "key", "left_semi"), least), "context")
+    found = scratch.keep(with_context(docs, every.join(shared, "key"), least, k), "context")
     scratch.drop(every)
+    kept = found.filter("h is null").drop("h", "start")
+    counted = settled(scratch, found.filter("h is not null").select("doc_id", "th", "start", "h"), least)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Ranges are cut by a short beginning of the words after the key, which goes to the driver in samples; a group
     # that is larger than a partition is cut further by the hash of all its words, then by the words before and the document.
@@ -181,10 +222,12 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFr
     compared = scratch.keep(text_ids.mapInPandas(compare(least, True), COMPARED), "compared")
     # Neighbours in different partitions: the few rows at every edge, sorted together once more.
     seams = compared.filter(F.col("key").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
+    # A row that is both among the first and the last of a small partition comes out twice.
+    seams = seams.dropDuplicates(["doc_id", "th", "pos"])
     seams = seams.repartition(1).sortWithinPartitions(*order).withColumn("doc_id", F.col("doc_id").cast("string"))
     across = seams.mapInPandas(compare(least, False), COMPARED)
     spans = compared.unionByName(across).filter(F.col("key").isNull())
-    spans = spans.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "start", "end", F.col("other").cast("long").alias("other"))
+    spans = spans.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "start", "end", F.col("other").cast("long").alias("other")).unionByName(counted)
     best = spans.groupBy("doc_id", "th", "start", "end").agg(F.min("other").alias("other"))
     grouped = best.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "other"))).alias("spans"))
     merged = F.expr(

@@ -74,5 +74,33 @@ def test_edges_of_partitions_are_compared(spark):
     assert got == set(brute(rows, 50))
 
 
+def test_no_repeat_around_a_frequent_phrase_is_lost(spark):
+    """Pairs share own words and a phrase common to all documents, so true partners don't stand next to each other."""
+    rng = random.Random(7)
+    word = lambda: "w" + str(rng.randint(0, 10**6))
+    texts = []
+    for own, common in ((25, 30), (10, 45)):
+        phrase = [word() for _ in range(common)]
+        for _ in range(100):
+            shared = [word() for _ in range(own)]
+            texts += [" ".join([*(word() for _ in range(20)), *shared, *phrase, *(word() for _ in range(20))]) for _ in range(2)]
+    docs = odd_docs(spark, texts).repartition(5)
+    want = brute([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None], 50)
+    got = {}
+    for r in sa.suffix_dedup(docs).collect():
+        if r.doc_id is not None:
+            got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+            assert r.other_doc_id == r.doc_id ^ 1
+    assert len(want) == 400 and got == want
+
+
+def test_a_repeated_row_is_no_partner_of_itself(spark):
+    phrase = " ".join(f"p{i}" for i in range(12))
+    texts = [" ".join(f"a{d}x{i}" for i in range(40)) + f" {phrase} " + " ".join(f"b{d}x{i}" for i in range(40)) for d in range(3)]
+    docs = odd_docs(spark, texts)
+    docs = docs.union(docs.filter("doc_id = 1"))
+    assert [r for r in sa.suffix_dedup(docs).collect() if r.doc_id is not None] == []
+
+
 def test_an_empty_table(spark):
     assert sa.suffix_dedup(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
