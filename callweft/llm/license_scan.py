@@ -2,7 +2,8 @@
 
 Blocks of text with license words are compressed alone and with each template as a raw zstandard
 dictionary. Templates are ranked by how much they shorten the block, and the best one whose exact
-wording differences are small is the block's license.
+wording differences are small is a license of the block. Its words are cut out, and what is left before
+and after them is scanned again until nothing is confirmed.
 """
 
 from __future__ import annotations
@@ -85,6 +86,10 @@ MOST_MISSING_PCT = 10
 GAP = 2
 #: Words of the templates that say nothing about licenses.
 COMMON = frozenset("a an and any are as at be by can for from if in is its it may no not of on one or so that the their this to was with you".split())
+#: Words that make another license of a name when they are added to it.
+NAME_WORDS = frozenset(("lesser", "library", "affero"))
+#: Punctuation that ends a wording.
+STOP = re.compile(r"[^\w\s]*")
 WORD = re.compile(r"[\w.+-]*\w")
 
 
@@ -128,58 +133,76 @@ class Scanner:
         words = WORD.findall(line.lower())
         return bool(words) and 2 * sum(w in self.vocabulary for w in words) >= len(words)
 
-    def differences(self, words: list[str], wanted: list[str]) -> tuple[int, int]:
-        """(template words missing in the block, block words added inside the matched part)."""
-        parts = [m for m in SequenceMatcher(None, words, wanted, autojunk=False).get_matching_blocks() if m.size]
-        if not parts:
-            return len(wanted), 0
-        same = sum(m.size for m in parts)
-        return len(wanted) - same, parts[-1].a + parts[-1].size - parts[0].a - same
+    def match(self, words: list[str], wanted: list[str]) -> tuple[int, int, int, int] | None:
+        """(first matched word, end, template words missing in the text, other words inside the matched part).
+
+        The longest common run places the template; its other words are looked for as far around as the allowed
+        differences reach. A part at an end that is shorter than the gap to the next one doesn't count.
+        """
+        run = SequenceMatcher(None, words, wanted, autojunk=False).find_longest_match()
+        if not run.size:
+            return None
+        slack = len(wanted) * 2 * MOST_MISSING_PCT // 100 + 1
+        low = max(0, run.a - run.b - slack)
+        near = words[low : run.a + len(wanted) - run.b + slack]
+        parts = [m for m in SequenceMatcher(None, near, wanted, autojunk=False).get_matching_blocks() if m.size]
+        while len(parts) > 1 and parts[0].size < parts[1].a - parts[0].a - parts[0].size:
+            parts.pop(0)
+        while len(parts) > 1 and parts[-1].size < parts[-1].a - parts[-2].a - parts[-2].size:
+            parts.pop()
+        same, first, end = sum(m.size for m in parts), parts[0].a, parts[-1].a + parts[-1].size
+        return low + first, low + end, len(wanted) - same, end - first - same
 
     def names_differ(self, words: list[str], wanted: list[str]) -> bool:
-        """Whether a part of the template's name (a word with a digit or a hyphen) is missing in the block."""
-        return not {w for w in wanted if re.search(r"[\d-]", w)} <= set(words)
+        """Whether a part of the template's name (a word with a digit or a hyphen) is missing, or one is added to it."""
+        return not {w for w in wanted if re.search(r"[\d-]", w)} <= set(words) or bool(NAME_WORDS & set(words) - set(wanted))
 
     def scan(self, text: str | None) -> list[tuple]:
-        """(start, end, license, saved, missing, added) of the confirmed licenses of a text.
-
-        A block is one license where a wording fits it as a whole, unless its lines hold more: notices of
-        one line each.
-        """
-        out = []
-        for start, end in self.blocks(text or ""):
-            whole, lines, at = self.best(text[start:end]), [], start
-            for line in text[start:end].split("\n"):
-                if self.cue.search(line):
-                    found = self.best(line)
-                    if found:
-                        lines.append((at, at + len(line), found))
-                at += len(line) + 1
-            if whole and whole[4] > sum(found[4] for _, _, found in lines):
-                lines = [(start, end, whole)]
-            out += [(a, b, *found[:4]) for a, b, found in lines]
-        return out
+        """(start, end, license, saved, missing, added) of the confirmed licenses of a text, by start."""
+        return sorted(found for start, end in self.blocks(text or "") for found in self.within(text, start, end))
+
+    def within(self, text: str, start: int, end: int) -> Iterator[tuple]:
+        """The licenses of text[start:end]: the best one, then those before and after its words; line by line where none fits."""
+        todo = [(start, end)]
+        while todo:
+            start, end = todo.pop()
+            part = text[start:end]
+            if not self.cue.search(part):
+                continue
+            found = self.best(part)
+            if found:
+                yield (start + found[0], start + found[1], *found[2:])
+                todo += [(start, start + found[0]), (start + found[1], end)]
+            elif "\n" in part:
+                for line in re.finditer("[^\n]+", part):
+                    todo.append((start + line.start(), start + line.end()))
 
     def best(self, block: str):
+        """(start, end, license, saved, missing, added) of the best confirmed template, or None."""
         raw = " ".join(block.lower().split()).encode()
-        words = WORD.findall(block.lower())
+        places = list(WORD.finditer(block))
+        words = [m[0].lower() for m in places]
         size = len(self.alone.compress(raw))
         ranked = sorted(((size - len(c.compress(raw))) / size, -i) for i, (_, _, c) in enumerate(self.templates))
         for saved, i in reversed(ranked):
             name, wanted, _ = self.templates[-i]
             if saved < LEAST_SAVED * min(1.0, len(wanted) / max(1, len(words))):
                 continue
-            missing, added = self.differences(words, wanted)
-            if missing * 100 <= MOST_MISSING_PCT * len(wanted) and added * 100 <= 2 * MOST_MISSING_PCT * len(wanted) and not self.names_differ(words, wanted):
-                return name, round(saved, 4), missing, added, len(wanted)
+            match = self.match(words, wanted)
+            if not match:
+                continue
+            first, end, missing, added = match
+            small = missing * 100 <= MOST_MISSING_PCT * len(wanted) and added * 100 <= 2 * MOST_MISSING_PCT * len(wanted)
+            if small and not self.names_differ(words[first:end], wanted):
+                return places[first].start(), STOP.match(block, places[end - 1].end()).end(), name, round(saved, 4), missing, added
         return None
 
 
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """doc_id, start, end (code points), license, saved, n_missing, n_added of every confirmed license block.
+    """doc_id, start, end (code points), license, saved, n_missing, n_added of every confirmed license.
 
-    Blocks are runs of lines with license words; JVM regular expressions leave other documents out before
-    any Python runs. ``saved`` is the share of the block's compressed bytes that the template saves;
+    A block of lines can hold several, each with the span of its own words. Blocks are runs of lines with license words; JVM regular expressions leave other documents out before
+    any Python runs. ``saved`` is the share of compressed bytes that the template saves, of the block or what other licenses leave of it;
     ``n_missing`` and ``n_added`` are the exact wording differences in words. Null and empty texts have no
     blocks, null doc_id stays null, repeated rows each give rows, an empty table gives no rows, other
     columns are ignored.

@@ -55,6 +55,33 @@ def test_near_wordings_are_told_apart():
     assert [x[2] for x in s.scan(two)] == ["MIT", "CC-BY-NC-4.0"]
 
 
+def test_every_license_of_a_block_is_found():
+    s = Scanner()
+    mit, bsd, apache = TEMPLATES["MIT"][2], TEMPLATES["BSD-3-Clause"][0], TEMPLATES["Apache-2.0"][1]
+    cc = "Licensed under CC BY-NC 4.0."
+    lines = lambda t: "\n".join(wrapped(t))
+    cases = [
+        (f"{lines(mit)}\n\n{lines(bsd)}", ["MIT", "BSD-3-Clause"]),
+        (f"{lines(apache)}\n\n{lines(mit)}\n\n{lines(bsd)}", ["Apache-2.0", "MIT", "BSD-3-Clause"]),
+        (f"{cc}\n{lines(mit)}\nReleased under the MIT License.", ["CC-BY-NC-4.0", "MIT", "MIT"]),
+        (f"Released under the MIT License. {cc}", ["MIT", "CC-BY-NC-4.0"]),
+        (f"{mit} {bsd} {mit}", ["MIT", "BSD-3-Clause", "MIT"]),
+    ]
+    for text, names in cases:
+        found = s.scan(text)
+        assert [x[2] for x in found] == names, found
+        assert all(x[4] == x[5] == 0 for x in found) and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+        wordings = {" ".join(w.split()) for name in names for w in TEMPLATES[name]}
+        assert all(" ".join(text[x[0] : x[1]].split()) in wordings for x in found)
+
+
+def test_added_name_words_make_another_license():
+    s = Scanner()
+    for kind in ("Lesser", "Affero", "Library"):
+        assert s.scan(f"This work is licensed under the GNU {kind} General Public License, version 3.") == []
+        assert s.scan(TEMPLATES["GPL-3.0"][1].replace("General", f"{kind} General")) == []
+
+
 def test_given_documents_and_odd_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = re.compile(r"^(Licensed under the Apache License, Version 2\.0\.|Released under the MIT License\.|Licensed under CC BY-NC 4\.0\.|This work is licensed under the GNU General Public License, version 3\.)$", re.M)
