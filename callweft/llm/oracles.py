@@ -51,13 +51,15 @@ SELECT a AS doc_id, coalesce(n, 0) AS n_shingles, min(b) AS component_id FROM r
 SENTENCES = rf"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?]){WS}', '\1' || chr(10), 'g'), '[\n\r]+'),
     lambda x: lower(trim(regexp_replace(x, '{WS}', ' ', 'g')))), lambda x: x <> '') AS s FROM documents),
-w AS (SELECT doc_id, s, i, list_filter(range(3, 13), lambda m: i + m - 1 <= len(s) AND len(string_split(array_to_string(s[i:i + m - 1], ' '), ' ')) >= 12)[1] AS m
-  FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)),
-l AS (SELECT doc_id, i - 1 AS place, i - 1 + m AS stop, array_to_string(s[i:i + m - 1], chr(10)) AS k FROM w WHERE m IS NOT NULL),
-f AS (SELECT *, min((doc_id, place)) OVER (PARTITION BY k) AS first FROM l),
-x AS (SELECT doc_id, place, stop, first[1] AS f FROM f WHERE (doc_id, place) <> first),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS span FROM (SELECT *, (place > coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY place), -9))::INT AS fresh FROM x))
-SELECT doc_id, min(place)::INT AS start, max(stop)::INT AS "end", min(f) AS first_doc_id FROM g GROUP BY doc_id, span"""
+c AS (SELECT doc_id, s, list_transform(s, lambda x: len(string_split(x, ' '))) AS c FROM s),
+w AS (SELECT doc_id, s, i, list_filter(range(1, 26), lambda m: i + m - 1 <= len(s) AND ((m >= 2 AND list_sum(c[i:i + m - 1]) >= 25) OR (m = 1 AND c[i] >= 50)))[1] AS m
+  FROM (SELECT doc_id, s, c, unnest(range(1, len(s) + 1)) AS i FROM c)),
+l AS (SELECT doc_id, i - 1 AS place, i - 1 + m AS stop, array_to_string(s[i:i + m - 1], chr(10)) AS k FROM w WHERE m IS NOT NULL AND (m = 1 OR i = 1 OR s[i - 1] <> s[i] OR len(list_distinct(s[i:i + m - 1])) > 1)),
+f AS (SELECT *, min((doc_id, place)) OVER (PARTITION BY k) AS first, max((doc_id, place)) OVER (PARTITION BY k) AS last FROM l),
+x AS (SELECT doc_id, place, stop, first[1] AS f, CASE WHEN (doc_id, place) = first THEN 'first' ELSE 'repeat' END AS role FROM f WHERE first <> last),
+b AS (SELECT *, max(stop) OVER (PARTITION BY doc_id, role ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
+g AS (SELECT *, sum((place > coalesce(before, -9))::INT) OVER (PARTITION BY doc_id, role ORDER BY place) AS span FROM b)
+SELECT doc_id, min(place)::INT AS start, max(stop)::INT AS "end", min(f) AS first_doc_id, role FROM g GROUP BY doc_id, role, span"""
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 SECRETS = rf"""

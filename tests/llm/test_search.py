@@ -86,23 +86,25 @@ def brute_spans(rows):
     for doc_id, text in set(rows):
         parts = [re.sub(r"[\x20\x09-\x0D]+", " ", s).strip(" ") for s in re.split(r"(?<=[.!?])[\x20\x09-\x0D]+|[\n\r]+", text or "")]
         lists[doc_id, text] = [s.lower() for s in parts if s]
-    first, runs = {}, []
+    first, last, runs = {}, {}, []
     for (doc_id, text), s in lists.items():
+        size = [x.count(" ") + 1 for x in s]
         for i in range(len(s)):
-            n = next((n for n in range(3, 13) if i + n <= len(s) and sum(x.count(" ") + 1 for x in s[i : i + n]) >= 12), None)
-            if n:
+            n = next((n for n in range(1, 26) if i + n <= len(s) and (size[i] >= 50 if n == 1 else sum(size[i : i + n]) >= 25)), None)
+            if n and (n == 1 or i == 0 or s[i - 1] != s[i] or len(set(s[i : i + n])) > 1):
                 place, key = (doc_id is None, doc_id or 0, text, i), tuple(s[i : i + n])
                 runs.append((place, key))
                 first[key] = min(first.get(key, place), place)
+                last[key] = max(last.get(key, place), place)
     out = {}
     for place, key in sorted(runs):
-        if first[key] != place:
-            spans = out.setdefault(place[:3], [])
+        if first[key] != last[key]:
+            spans = out.setdefault((*place[:3], "first" if first[key] == place else "repeat"), [])
             if spans and spans[-1][1] >= place[3]:
-                spans[-1] = (spans[-1][0], place[3] + len(key), min(spans[-1][2], first[key][1]))
+                spans[-1] = (spans[-1][0], max(spans[-1][1], place[3] + len(key)), min(spans[-1][2], first[key][1]))
             else:
                 spans.append((place[3], place[3] + len(key), first[key][1]))
-    return sorted((None if k[0] else k[1], *s) for k, v in out.items() for s in v)
+    return sorted((None if k[0] else k[1], *s, k[3]) for k, v in out.items() for s in v)
 
 
 def test_sentence_spans_match_brute_force(spark):
@@ -116,9 +118,45 @@ def test_sentence_spans_match_brute_force(spark):
         texts.append(rng.choice([" ", "\n", ". "]).join(parts))
     texts += [texts[0], texts[1], "Same short. One two. Three.", "Same short. One two. Three.", (passages[0] + " ") * 4]
     texts += [f"{prose(rng, 20)} " + "".join(f"W{i}!! " for i in range(60)) for _ in range(2)]
+    texts += ["Again. " * 80, "Before. " + "Again. " * 80 + prose(rng, 30), " ".join(f"v{i}" for i in range(60)), "Own. " + " ".join(f"v{i}" for i in range(60))]
     docs = odd_docs(spark, texts)
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
     got = sorted(tuple(r) for r in sd.sentence_dedup(docs).collect() if r.doc_id is not None)
     assert got == brute_spans(rows) and len(got) > 30
     cleaned = {r.doc_id: r.text for r in sd.without_repeats(docs).collect() if r.doc_id is not None and r.doc_id < 900}
-    assert cleaned[80] == "" and cleaned[0] == texts[0] and cleaned[82] == texts[82]
+    assert len(cleaned[80].split()) < 25 and cleaned[0] == texts[0] and cleaned[82] == cleaned[83] == texts[82]
+    assert cleaned[90] == "Own."
+
+
+def test_sentence_spans_catch_planted_passages(spark):
+    """Carriers of a passage of 55 to 90 words, whole or cut inside its first and last sentence, against clean documents."""
+    rng = random.Random(77)
+
+    def sentence(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n)).capitalize() + "."
+
+    def text(words):
+        out = []
+        while sum(map(len, map(str.split, out))) < words:
+            out.append(sentence(rng.randint(4, 24)))
+        return " ".join(out)
+
+    passages = [text(rng.randint(55, 90)) for _ in range(25)] + [sentence(60), sentence(30) + " " + sentence(30)]
+    shared = "It may be read by all. Ask first. All rights are kept."
+    texts, carriers = [], set()
+    for i in range(500):
+        body = [sentence(rng.randint(4, 24)) for _ in range(rng.randint(4, 20))]
+        if i % 2:
+            words = rng.choice(passages).split()
+            if i % 4 == 1:
+                words = words[rng.randint(1, 3) : -rng.randint(1, 3)]
+            words = words if len(words) > 50 else passages[0].split()
+            carriers.add(i)
+            body.insert(rng.randrange(len(body)), " ".join(words))
+        elif i % 3 == 0:
+            body.insert(rng.randrange(len(body)), shared if i % 9 else " ".join([sentence(2)] * 40))
+        texts.append(" ".join(body))
+    found = {r.doc_id for r in sd.sentence_dedup(spark.createDataFrame(doc_rows(texts), DOC_SCHEMA)).collect()}
+    caught, alone = len(found & carriers) / len(carriers), 1 - len(found - carriers) / (500 - len(carriers))
+    print(f"caught {caught:.3f}, clean documents left alone {alone:.3f}")
+    assert caught >= 0.95 and alone == 1.0
