@@ -1,13 +1,16 @@
 """HTML extraction by tree scoring.
 
 A page becomes a tree of its elements. Each paragraph passes points for its length and its commas to
-its parent and half of them to its grandparent; a container's points are discounted by the share of its
-text inside links. The best container and the siblings that score well beside it are kept.
+its container and half of them to the container above; a container's points are discounted by the share
+of its text inside links. Names of class, id and role only lower the points that pass through a
+container. The best container and the siblings that score well beside it are kept, level by level upwards;
+containers inside it that pass on next to nothing because of their names are left out.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,21 +30,22 @@ CLOSES_P = frozenset(
 #: An element of the key is closed by the start of one of these, up to the list or table around it.
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol menu dl table select html body article div section td th".split())
-#: Elements that are never part of an article.
-DROPPED = frozenset(
-    "head script style noscript template iframe svg canvas object nav menu header footer aside form button select textarea dialog".split()
-)
-#: Words of class, id and role that name a part that isn't part of an article.
-DROPPED_NAMES = frozenset(
+#: Elements that are never part of an article; a header is one unless it stands in an article or section.
+DROPPED = frozenset("head script style noscript template iframe svg canvas object nav menu footer aside form button select textarea dialog".split())
+PARTS = frozenset("article section main".split())
+#: Words of class, id and role that tell of a part beside the article.
+TELLING = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets ad ads adv advert adverts advertisement"
     " advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter"
-    " subscribe subscription share sharing social related recommended recommendations comment comments disqus reply replies respond discussion"
+    " subscribe subscription share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion"
     " login signup signin search form toolbar pagination pager skip contentinfo complementary".split()
 )
-#: Such words inside longer names (sitefooter, commentlist).
-DROPPED_INSIDE = re.compile(r"sidebar|footer|cookie|advert|breadcrumb|newsletter|navbar|sponsor|popup|masthead|comment(?!ary|ator)|(?:site|page|top)header")
-NEVER_DROPPED = frozenset("html body main article".split())
-SEMANTIC = frozenset("article main".split())
+#: Words that may stand beside a telling one; a name with any other word tells nothing.
+NEUTRAL = frozenset("the a of and box list wrap wrapper section area container block inner outer row col bar links link posts post articles items item group main page site top bottom left right side content text js c".split())
+#: Share of their points that blocks below a container with a telling name pass on.
+LOWERED = 0.1
+#: Elements whose names lower nothing: text blocks, and what holds the whole page.
+PLAIN = frozenset("html body main p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th figcaption address".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S
@@ -51,30 +55,27 @@ LEAST_LENGTH = 25
 COMMA = re.compile("[,،、，]")
 
 
-def named_part(tag: str, attrs: str) -> bool:
-    """Whether an element's tag or names say that it isn't part of the article."""
-    if tag in DROPPED:
-        return True
-    if not attrs or tag in NEVER_DROPPED:
-        return False
+def telling(attrs: str) -> bool:
+    """Whether a class, id or role names a part beside the article: a telling word, and no words but neutral ones with it."""
     for found in NAMES.findall(attrs):
-        for name in found:
-            if name:
-                words = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()
-                if DROPPED_INSIDE.search(words) or not DROPPED_NAMES.isdisjoint(re.split(r"[^a-z]+", words)):
-                    return True
+        for name in " ".join(found).split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if w]
+            if not TELLING.isdisjoint(words) and all(w in TELLING or w in NEUTRAL for w in words):
+                return True
     return False
 
 
 class Page:
-    """Elements (parent, tag) and text blocks (element, text, characters inside links) of a page."""
+    """Elements (parent, tag, lowered) and text blocks (element, text, characters inside links) of a page."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.blocks = [-1], ["#root"], []
+        self.parent, self.tag, self.lowered = [-1], ["#root"], [False]
+        self.blocks: list[tuple[int, str, int]] = []
         self.open: list[int] = [0]
+        self.holders: list[int] = [0]  # the open elements that aren't inline
+        self.n_open: Counter = Counter()  # by tag, so that nothing is looked for in vain
         self.pieces: list[str] = []
         self.links = self.in_link = 0
-        self.owner = 0
         self.dropped = 0  # place in self.open of the outermost dropped element
         at, end = 0, len(html)
         while at < end:
@@ -90,7 +91,7 @@ class Page:
                 continue
             tag = tag.lower()
             if match["end"]:
-                self.close(tag)
+                self.close_to((tag,), SCOPE if tag in INLINE or tag == "p" else ())
                 continue
             self.start(tag, match["attrs"])
             if tag in RAW:
@@ -110,29 +111,25 @@ class Page:
             raw = "".join(self.pieces)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                self.blocks.append((self.owner, text, min(self.links, len(text))))
+                self.blocks.append((self.holders[-1], text, min(self.links, len(text))))
             self.pieces.clear()
         self.links = 0
 
     def pop(self) -> None:
-        gone = self.open.pop()
-        tag = self.tag[gone]
+        tag = self.tag[self.open.pop()]
+        self.n_open[tag] -= 1
         if tag == "a":
             self.in_link -= 1
         if len(self.open) == self.dropped:
             self.dropped = 0
         if tag not in INLINE:
             self.flush()
-            self.set_owner()
-
-    def set_owner(self) -> None:
-        for node in reversed(self.open):
-            if self.tag[node] not in INLINE:
-                self.owner = node
-                return
+            self.holders.pop()
 
     def close_to(self, tags, stop) -> None:
         """Close the innermost open element of these tags with all inside it, if none of ``stop`` is in between."""
+        if not any(self.n_open[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.tag[self.open[i]]
             if tag in tags:
@@ -157,27 +154,86 @@ class Page:
             self.flush()
         self.parent.append(self.open[-1])
         self.tag.append(tag)
-        if not self.dropped and named_part(tag, attrs):
+        self.lowered.append(bool(attrs) and tag not in PLAIN and telling(attrs))
+        if not self.dropped and (tag in DROPPED or tag == "header" and not any(self.n_open[t] for t in PARTS)):
             if tag in INLINE:
                 self.text(" ")
             self.dropped = len(self.open)
         self.open.append(len(self.tag) - 1)
+        self.n_open[tag] += 1
         if tag == "a":
             self.in_link += 1
         if tag not in INLINE:
-            self.owner = self.open[-1]
+            self.holders.append(self.open[-1])
 
-    def close(self, tag: str) -> None:
-        stop = SCOPE if tag in INLINE or tag == "p" else ()
-        self.close_to((tag,), stop)
 
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th figcaption address".split())
+LISTS = frozenset("ul ol table".split())
+TITLES = frozenset(("h1", "h2"))
+#: Elements whose siblings aren't looked at.
+WHOLE = frozenset("article main".split())
+#: Least share of the kept points that a sibling needs.
+BESIDE = 0.2
 
-def container_of(page: Page, node: int) -> int:
-    """The element that holds a paragraph: its parent, or itself where text stands in it directly."""
-    return page.parent[node] if page.tag[node] in PARAGRAPHS else node
 
+class Scores:
+    """Points and text lengths of a page's elements; parents stand before their children, so sums run backwards once."""
 
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th figcaption address".split())
+    def __init__(self, page: Page):
+        n = len(page.tag)
+        parent = page.parent
+        weight = [1.0] * n
+        for i in range(1, n):
+            weight[i] = LOWERED if page.lowered[i] else weight[parent[i]]
+        points, self.total, self.length, self.links = [0.0] * n, [0.0] * n, [0] * n, [0] * n
+        for node, text, inside in page.blocks:
+            self.length[node] += len(text)
+            self.links[node] += inside
+            if len(text) >= LEAST_LENGTH:
+                worth = weight[node] * (1 + len(text) / 100 + len(COMMA.findall(text))) * (1 - inside / len(text))
+                self.total[node] += worth
+                holder = parent[node] if page.tag[node] in PARAGRAPHS else node
+                points[holder] += worth
+                if parent[holder] >= 0:
+                    points[parent[holder]] += worth / 2
+        for i in range(n - 1, 0, -1):
+            self.total[parent[i]] += self.total[i]
+            self.length[parent[i]] += self.length[i]
+            self.links[parent[i]] += self.links[i]
+        self.score = [p * (1 - self.density(i)) for i, p in enumerate(points)]
+
+    def density(self, node: int) -> float:
+        """Share of an element's text that stands inside links."""
+        return self.links[node] / self.length[node] if self.length[node] else 0.0
+
+
+def kept_elements(page: Page, scores: Scores) -> set[int]:
+    """The best container with what scores well beside it, and beside the containers around it.
+
+    Siblings with a share of its points stay on every level up to the article or main element around it, text blocks
+    without many links beside itself and beside its parent, and before it parts that hold the page's headline.
+    """
+    parent = page.parent
+    best = max(range(len(parent)), key=lambda i: (scores.score[i], -i))
+    if not scores.score[best]:
+        return {0}
+    children: dict[int, list[int]] = {}
+    titled = [tag in TITLES for tag in page.tag]
+    for i in range(len(parent) - 1, 0, -1):
+        titled[parent[i]] |= titled[i]
+        if scores.length[i]:
+            children.setdefault(parent[i], []).append(i)
+    kept, points, node, level = {best}, scores.total[best], best, 0
+    while node > 0 and page.tag[node] not in WHOLE:
+        for i in children[parent[node]]:
+            if i != node and scores.density(i) < 0.5:
+                plain = scores.density(i) < 0.25 and not page.lowered[i]
+                block = level < 2 and plain and (page.tag[i] in PARAGRAPHS or (i < node and titled[i]))
+                if block or scores.total[i] >= max(2.0, BESIDE * points):
+                    kept.add(i)
+                    points += scores.total[i]
+        node, level = parent[node], level + 1
+    return kept
 
 
 def main_text(html: str | None) -> str:
@@ -187,47 +243,14 @@ def main_text(html: str | None) -> str:
     page = Page(html)
     if not page.blocks:
         return ""
-    n = len(page.tag)
-    points, length, links = [0.0] * n, [0] * n, [0] * n
-    for node, text, inside in page.blocks:
-        up = node
-        while up >= 0:
-            length[up] += len(text)
-            links[up] += inside
-            up = page.parent[up]
-        if len(text) >= LEAST_LENGTH:
-            worth = (1 + len(text) / 100 + len(COMMA.findall(text))) * (1 - inside / len(text))
-            holder = max(container_of(page, node), 0)
-            points[holder] += worth
-            if page.parent[holder] >= 0:
-                points[page.parent[holder]] += worth / 2
-    score = [p * (1 - links[i] / length[i]) if length[i] else 0.0 for i, p in enumerate(points)]
-    best = max(range(n), key=lambda i: (score[i], -i))
-    if not score[best]:
-        best = 0
-    up = best
-    while up > 0:
-        if page.tag[up] in SEMANTIC:
-            best = up
-        up = page.parent[up]
-    kept = {best}
-    if best and page.tag[best] not in SEMANTIC:
-        beside = page.parent[best]
-        for i in range(1, n):
-            if page.parent[i] == beside and length[i]:
-                density = links[i] / length[i]
-                if score[i] >= max(2.0, 0.2 * score[best]) or (page.tag[i] in PARAGRAPHS and density < 0.25):
-                    kept.add(i)
-    out = []
-    for node, text, _ in page.blocks:
-        up, menu = node, False
-        while up >= 0 and up not in kept:
-            if page.tag[up] in ("ul", "ol", "table") and length[up] and links[up] / length[up] > 0.8:
-                menu = True
-            up = page.parent[up]
-        if up >= 0 and not menu:
-            out.append(text)
-    return "\n".join(out)
+    scores = Scores(page)
+    kept = kept_elements(page, scores)
+    most = max(scores.total[i] for i in kept)
+    within = [0 in kept] + [False] * (len(page.tag) - 1)
+    for i in range(1, len(page.tag)):
+        beside = page.lowered[i] and scores.total[i] <= BESIDE * most or page.tag[i] in LISTS and scores.density(i) > 0.8
+        within[i] = (within[page.parent[i]] or i in kept) and not beside
+    return "\n".join(text for node, text, _ in page.blocks if within[node])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
