@@ -170,8 +170,9 @@ class Page:
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th figcaption address".split())
 LISTS = frozenset("ul ol table".split())
 TITLES = frozenset(("h1", "h2"))
-#: Elements whose siblings aren't looked at.
+#: Elements whose siblings aren't looked at, and the points that such an element starts with.
 WHOLE = frozenset("article main".split())
+PRIOR = 5.0
 #: Least share of the kept points that a sibling needs.
 BESIDE = 0.2
 
@@ -200,6 +201,9 @@ class Scores:
             self.total[parent[i]] += self.total[i]
             self.length[parent[i]] += self.length[i]
             self.links[parent[i]] += self.links[i]
+        for i in range(n):
+            if page.tag[i] in WHOLE and self.length[i]:
+                points[i] += PRIOR * weight[i]
         self.score = [p * (1 - self.density(i)) for i, p in enumerate(points)]
 
     def density(self, node: int) -> float:

@@ -92,6 +92,8 @@ def brute_text(html):
         for k, (n, _, _) in enumerate(p.blocks):
             holder = p.parent[n] if p.tag[n] in he.PARAGRAPHS else n
             points += worth[k] * (1.0 if holder == i else 0.5 if p.parent[holder] == i else 0.0)
+        if p.tag[i] in ("article", "main") and length(i):
+            points += 5.0 * (0.1 if any(p.lowered[u] for u in ups[i]) else 1.0)
         return round(points * (1 - density(i)), 9)
 
     best = max(range(len(p.tag)), key=lambda i: (score(i), -i))
