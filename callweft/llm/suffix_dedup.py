@@ -4,8 +4,9 @@ Only suffixes that start at minimisers are retained: of every ``WINDOW`` consecu
 the one with the least hash. Any passage of ``LEAST`` words that occurs twice starts a retained suffix at
 the same place of both occurrences. The retained suffixes that share their first ``K`` words with another
 are sorted by their words, neighbours are compared, and each match is extended right and left word by word.
-Neighbours are all partners only where few suffixes share their first ``K`` words. In larger groups every
-window of ``LEAST`` words whose least hash is the suffix's is counted by its hash too, so no repeat is lost.
+Neighbours are all partners only where few suffixes share their first ``K`` words. In larger groups a suffix
+is settled where a neighbour shares all its context; groups that hold one that isn't have every window of
+``LEAST`` words around their suffixes counted by its hash too, so no repeat is lost.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ K = 8
 NEIGHBOURS = 2
 #: Rows of a frame that a task hands over at a time.
 FRAME = 4096
+CONTEXT = ["doc_id", "th", "pos", "key", "many", "right", "left"]
+CONTEXT_TYPES = "th long, pos int, key long, many boolean, right binary, left binary"
 
 
 def slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -77,39 +80,20 @@ def suffixes(docs: DataFrame, least: int, k: int) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def windows_at(grams: np.ndarray, places: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of ``least`` words whose first least gram stands at one of ``places``."""
-    width = least - k + 1
-    starts = np.arange(len(grams) - width + 1)
-    starts = starts[np.isin(starts + np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1), places)]
-    h = np.zeros(len(starts), np.uint64)
-    for step in (*range(0, least - k, k), least - k):
-        h = mix(h * ODD + grams[starts + step])
-    return starts, h
-
-
 def with_context(docs: DataFrame, kept: DataFrame, least: int, k: int) -> DataFrame:
     """The kept suffixes with their first ``least`` words and the ``least`` words before, nearest first.
 
-    Words are 32-bit hashes in binary strings, so that suffixes sort by their words. Suffixes that have
-    ``many`` partners come with rows of their windows of ``least`` words too (``h``, a hash, and ``start``).
+    Words are 32-bit hashes in binary strings, so that suffixes sort by their words.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, out = WordHashes(), []
-        frame = lambda: pd.DataFrame(out, columns=["doc_id", "th", "pos", "key", "right", "left"]).assign(h=None, start=None)
+        frame = lambda: pd.DataFrame(out, columns=CONTEXT)
         for batch in batches:
             for doc_id, th, text, places, keys, many in zip(*(batch[c] for c in ("doc_id", "th", "text", "places", "keys", "many")), strict=True):
-                whole = hashes.of(words_of(text))
-                words = (whole >> np.uint64(32)).astype(">u4")
-                many = np.asarray(many, bool)
-                if many.any():
-                    starts, h = windows_at(windows(whole, k), np.asarray(places)[many], least, k)
-                    for a in range(0, len(starts), FRAME):
-                        part = {"h": h[a : a + FRAME].view(np.int64), "start": starts[a : a + FRAME].astype(np.int32)}
-                        yield pd.DataFrame({"doc_id": doc_id, "th": th, "pos": None, "key": None, "right": None, "left": None, **part})
-                for at, key in zip(places, keys, strict=True):
-                    out.append((doc_id, th, int(at), int(key), words[at : at + least].tobytes(), words[max(0, at - least) : at][::-1].tobytes()))
+                words = (hashes.of(words_of(text)) >> np.uint64(32)).astype(">u4")
+                for at, key, m in zip(places, keys, many, strict=True):
+                    out.append((doc_id, th, int(at), int(key), bool(m), words[at : at + least].tobytes(), words[max(0, at - least) : at][::-1].tobytes()))
                     if len(out) == FRAME:
                         yield frame()
                         out.clear()
@@ -119,8 +103,7 @@ def with_context(docs: DataFrame, kept: DataFrame, least: int, k: int) -> DataFr
     spots = spots.select(F.col("doc_id").alias("id"), F.col("th").alias("text_hash"), F.col("spots.pos").alias("places"), F.col("spots.key").alias("keys"), F.col("spots.many").alias("many"))
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), "text")
     joined = texts.join(spots, texts["doc_id"].eqNullSafe(spots["id"]) & (texts["th"] == spots["text_hash"]))
-    schema = "doc_id string, th long, pos int, key long, right binary, left binary, h long, start int"
-    out = joined.select(F.col("doc_id").cast("string"), "th", "text", "places", "keys", "many").mapInPandas(rows, schema)
+    out = joined.select(F.col("doc_id").cast("string"), "th", "text", "places", "keys", "many").mapInPandas(rows, f"doc_id string, {CONTEXT_TYPES}")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -137,49 +120,84 @@ def common(table: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return np.minimum(first, np.minimum(sizes[a], sizes[b]))
 
 
-def compare(least: int, edges: bool):
-    """Compare sorted suffixes with their neighbours; rows that stand at a partition's edge come out again.
+def compare(least: int, k: int, edges: bool):
+    """Compare sorted suffixes with their neighbours.
 
-    Spans come out as (doc_id, th, start, end, other_doc_id); edge rows with their context.
+    Rows that come out: spans (doc_id, th, start, end, other); with ``edges`` the rows at a partition's ends with
+    their context, and the keys of groups of ``many`` that hold a suffix no neighbour of which shares all its context.
+    Rows that repeat the one before are left out.
     """
-    columns = ["doc_id", "th", "pos", "key", "right", "left"]
+
+    columns = ["doc_id", "th", "start", "end", "other", *CONTEXT[2:]]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = pd.DataFrame(columns=columns)
+        before = pd.DataFrame(columns=[*CONTEXT, "full"])
         head = 0
         for batch in batches:
-            both = pd.concat([before, batch[columns]], ignore_index=True) if len(before) else batch[columns].reset_index(drop=True)
+            both = pd.concat([before, batch[CONTEXT].assign(full=False)], ignore_index=True) if len(before) else batch[CONTEXT].assign(full=False)
+            same = (both[["th", "pos", "key"]] == both[["th", "pos", "key"]].shift()).all(axis=1) & (both["doc_id"].fillna("") == both["doc_id"].fillna("").shift())
+            both = both[~same].reset_index(drop=True)
             if edges and head < NEIGHBOURS:
-                first = batch[columns].head(NEIGHBOURS - head)
+                first = both[len(before) :].head(NEIGHBOURS - head)
                 head += len(first)
-                yield edge(first)
+                yield first.drop(columns="full")
             right, right_size = padded(both["right"].tolist(), least)
             left, left_size = padded(both["left"].tolist(), least)
             key, doc, th, pos = (both[c].to_numpy() for c in ("key", "doc_id", "th", "pos"))
-            found = []
+            full, found = both["full"].to_numpy(bool), []
             for step in range(1, NEIGHBOURS + 1):
                 a = np.flatnonzero(key[step:] == key[:-step])
                 b = a + step
                 r, back = common(right, right_size, a, b), common(left, left_size, a, b)
-                same_id = (doc[a] == doc[b]) | (pd.isna(doc[a]) & pd.isna(doc[b]))
-                itself = (th[a] == th[b]) & (pos[a] == pos[b]) & same_id  # a repeated row
-                ok = (r + back >= least) & ~itself
+                for x in (a, b):
+                    full[x[(r == right_size[x]) & (back >= np.minimum(least - k, left_size[x]))]] = True
+                ok = r + back >= least
                 a, b, r, back = a[ok], b[ok], r[ok], back[ok]
                 for x, y in ((a, b), (b, a)):
                     found.append(pd.DataFrame({"doc_id": doc[x], "th": th[x], "start": pos[x] - back, "end": pos[x] + r, "other": doc[y]}))
-            if found:
-                yield pd.concat(found, ignore_index=True).assign(pos=None, key=None, right=None, left=None)
+            yield pd.concat(found, ignore_index=True)
+            both["full"] = full
+            if edges:
+                gone = both[: max(0, len(both) - NEIGHBOURS)]
+                yield opened(gone)
             before = both.tail(NEIGHBOURS)
         if edges and len(before):
-            yield edge(before)
+            yield before.drop(columns="full")
+            yield opened(before)
 
-    def edge(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.assign(start=None, end=None, other=None)
+    def opened(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": frame["key"][(frame["many"] & ~frame["full"]).astype(bool)].unique()})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in rows(batches):
+            yield frame.assign(**{c: None for c in columns if c not in frame})[columns]
+
+    return whole
 
-    return rows
 
+COMPARED = "doc_id string, th long, start int, end int, other string, pos int, key long, many boolean, right binary, left binary"
 
-COMPARED = "doc_id string, th long, start int, end int, other string, pos int, key long, right binary, left binary"
+
+def windows_around(least: int, k: int):
+    """(doc_id, th, start, h): every window of ``least`` words that holds the first ``k`` words of a suffix, by its hash."""
+    side, power = least - k, np.uint64(pow(int(ODD), least, 1 << 64))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            right, right_size = padded(batch["right"].tolist(), least)
+            left, left_size = padded(batch["left"].tolist(), least)
+            words = mix(np.concatenate((left[:, :side][:, ::-1], right), axis=1).astype(np.uint64) + np.uint64(1))
+            sums = np.zeros((len(batch), words.shape[1] + 1), np.uint64)
+            for i in range(words.shape[1]):
+                sums[:, i + 1] = sums[:, i] * ODD + words[:, i]
+            h = mix(sums[:, least:] - sums[:, :-least] * power)
+            at = np.arange(h.shape[1])
+            there = (at >= side - np.minimum(left_size, side)[:, None]) & (at + least <= side + right_size[:, None])
+            row, at = np.nonzero(there)
+            doc, th, pos = (batch[c].to_numpy()[row] for c in ("doc_id", "th", "pos"))
+            yield pd.DataFrame({"doc_id": doc, "th": th, "start": (pos - side + at).astype(np.int32), "h": h[row, at].view(np.int64)})
+
+    return rows
 
 
 def settled(scratch: Scratch, places: DataFrame, least: int) -> DataFrame:
@@ -206,28 +224,29 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFr
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     every = scratch.keep(suffixes(docs, least, k), "suffixes")
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > NEIGHBOURS + 1).alias("many"))
-    shared = scratch.keep(shared, "shared")  # read back, so that the join below can split a hot key
+    place = F.xxhash64("doc_id", "th", "pos")
+    shared = every.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b")
+    shared = scratch.keep(shared.select("key", (F.col("n") > NEIGHBOURS + 1).alias("many")), "shared")  # read back, so that the join below can split a hot key
     found = scratch.keep(with_context(docs, every.join(shared, "key"), least, k), "context")
     scratch.drop(every)
-    kept = found.filter("h is null").drop("h", "start")
-    counted = settled(scratch, found.filter("h is not null").select("doc_id", "th", "start", "h"), least)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Ranges are cut by a short beginning of the words after the key, which goes to the driver in samples; a group
     # that is larger than a partition is cut further by the hash of all its words, then by the words before and the document.
     ranges = ["key", F.substring("right", 4 * k + 1, 16), F.xxhash64("right"), F.substring("left", 1, 16), "doc_id", "pos"]
     order = ["key", "right", "left", "doc_id", "th", "pos"]
-    ranged = kept.repartitionByRange(parts, *ranges).sortWithinPartitions(*order)
-    text_ids = ranged.withColumn("doc_id", F.col("doc_id").cast("string"))
-    compared = scratch.keep(text_ids.mapInPandas(compare(least, True), COMPARED), "compared")
-    # Neighbours in different partitions: the few rows at every edge, sorted together once more.
-    seams = compared.filter(F.col("key").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
+    ranged = found.repartitionByRange(parts, *ranges).sortWithinPartitions(*order)
+    text_ids = lambda df: df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    compared = scratch.keep(text_ids(ranged).mapInPandas(compare(least, k, True), COMPARED), "compared")
+    # Neighbours in different partitions: the few rows at every edge, sorted once more among those of their key.
     # A row that is both among the first and the last of a small partition comes out twice.
-    seams = seams.dropDuplicates(["doc_id", "th", "pos"])
-    seams = seams.repartition(1).sortWithinPartitions(*order).withColumn("doc_id", F.col("doc_id").cast("string"))
-    across = seams.mapInPandas(compare(least, False), COMPARED)
-    spans = compared.unionByName(across).filter(F.col("key").isNull())
-    spans = spans.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "start", "end", F.col("other").cast("long").alias("other")).unionByName(counted)
+    seams = compared.filter("pos is not null").withColumn("doc_id", F.col("doc_id").cast("long")).dropDuplicates(["doc_id", "th", "pos"])
+    across = text_ids(seams.repartition(parts, "key").sortWithinPartitions(*order)).mapInPandas(compare(least, k, False), COMPARED)
+    spans = compared.filter("start is not null").unionByName(across)
+    spans = spans.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "start", "end", F.col("other").cast("long").alias("other"))
+    unsettled = scratch.keep(compared.filter("th is null").select("key").distinct(), "unsettled")
+    around = text_ids(found.filter("many").join(unsettled, "key")).select("doc_id", "th", "pos", "right", "left").mapInPandas(windows_around(least, k), "doc_id string, th long, start int, h long")
+    around = scratch.keep(around.withColumn("doc_id", F.col("doc_id").cast("long")), "windows")
+    spans = spans.unionByName(settled(scratch, around, least))
     best = spans.groupBy("doc_id", "th", "start", "end").agg(F.min("other").alias("other"))
     grouped = best.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "other"))).alias("spans"))
     merged = F.expr(

@@ -7,6 +7,7 @@ import numpy as np
 from odd import DOC_SCHEMA, odd_docs
 
 from callweft.llm import suffix_dedup as sa
+from callweft.llm.wordhash import WordHashes, windows
 
 
 def brute(rows, least):
@@ -102,5 +103,26 @@ def test_a_repeated_row_is_no_partner_of_itself(spark):
     assert [r for r in sa.suffix_dedup(docs).collect() if r.doc_id is not None] == []
 
 
+def test_a_row_of_many_words_twice_is_one_document(spark):
+    text = " ".join(f"q{i}" for i in range(80))
+    docs = odd_docs(spark, [f"{text} x{i}" for i in range(2)] + [" ".join(f"r{i}" for i in range(80))])
+    docs = docs.union(docs.filter("doc_id = 2")).union(docs.filter("doc_id < 2")).union(docs.filter("doc_id < 2"))
+    assert sorted(tuple(r) for r in sa.suffix_dedup(docs).collect() if r.doc_id is not None) == [(0, 0, 80, 1), (1, 0, 80, 0)]
+
+
+def test_a_repeat_behind_decoys(spark):
+    """Two documents share 50 words whose only shared minimiser lies in the last eight, which 40 others hold in other company."""
+    grams = lambda words: windows(WordHashes().of([w.encode() for w in words]), 8)
+    word = (f"v{i}" for i in range(10**7))
+    shared = [next(word) for _ in range(50)]
+    while grams(shared).argmin() != 42:
+        shared = [*shared[:42], *(next(word) for _ in range(8))]
+    side = lambda n: [next(word) for _ in range(n)]
+    texts = [" ".join([*side(60), *shared, *side(60)]) for _ in range(2)]
+    texts += [" ".join([*side(60), *shared[42:], *side(60)]) for _ in range(40)]
+    found = [tuple(r) for r in sa.suffix_dedup(odd_docs(spark, texts)).collect() if r.doc_id is not None]
+    assert sorted(found) == [(0, 60, 110, 1), (1, 60, 110, 0)]
+
+
 def test_an_empty_table(spark):
     assert sa.suffix_dedup(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
