@@ -62,6 +62,10 @@ g AS (SELECT *, sum((place > coalesce(before, -9))::INT) OVER (PARTITION BY doc_
 SELECT doc_id, min(place)::INT AS start, max(stop)::INT AS "end", min(f) AS first_doc_id, role FROM g GROUP BY doc_id, role, span"""
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+MASKED_SQL = "v"
+for _length, _part in ((36, "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"), (11, "(?i)placeholder"), (10, "(?i)0123456789|abcdefghij"), (8, "(?i)changeme"), (7, "(?i)example"), (5, "(?i)dummy"), (4, "(?i)xxxx")):
+    MASKED_SQL = f"regexp_replace({MASKED_SQL}, '{_part}', repeat(' ', {_length}), 'g')"
+MASKED_SQL = f"list_reduce(list_prepend({MASKED_SQL}, string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-', '')), lambda x, c: replace(x, repeat(c, 6), '      '))"
 SECRETS = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 raw AS (
@@ -73,18 +77,19 @@ x AS (SELECT rid, k, kind, m[i] AS v, list_sum(list_transform(g[1:i], lambda z:
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw) WHERE length(p[i]) >= least),
 y AS (SELECT *, s + length(v) AS e, row_number() OVER () AS n FROM x),
 base AS (SELECT * FROM y WHERE k < 3),
-cand AS (SELECT * FROM y WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
-  AND NOT regexp_matches(v, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$')
-  AND NOT regexp_matches(v, '(?i)0123456789|abcdefghij|example|placeholder|changeme|dummy|xxxx')
-  AND NOT regexp_matches(v, '^/?[a-z0-9_-]+(/[a-z0-9_-]+){{2,}}/?$')
-  AND len(list_filter(range(1, length(v) - 4), lambda i: substr(v, i, 6) = repeat(substr(v, i, 1), 6))) = 0
-  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = y.rid AND b.s <= y.s AND b.e >= y.e)),
+runs AS (SELECT rid, n, s, {MASKED_SQL} AS mv FROM y WHERE k = 3 AND NOT regexp_matches(v, '^/?[a-z0-9_-]+(/[a-z0-9_-]+){{2,}}/?$')),
+part AS (SELECT rid, s AS at, unnest(range(1, len(m) + 1)) AS i, m, g FROM (SELECT *, regexp_extract_all(mv, '[A-Za-z0-9+/_=-]{{20,}}') AS m, regexp_split_to_array(mv, '[A-Za-z0-9+/_=-]{{20,}}') AS g FROM runs)),
+left_ AS (SELECT rid, 3 AS k, 'entropy' AS kind, m[i] AS v, at + list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS s FROM part),
+cand AS (SELECT *, s + length(v) AS e, row_number() OVER () AS n FROM left_ WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = left_.rid AND b.s <= left_.s AND b.e >= left_.s + length(left_.v))),
 h AS (SELECT n, i, -sum(c / 20.0 * log2(c / 20.0)) AS bits FROM (
     SELECT n, i, ch, count(*) AS c FROM (SELECT n, i, unnest(string_split(substr(v, i, 20), '')) AS ch FROM (SELECT n, v, unnest(range(1, length(v) - 18)) AS i FROM cand)) GROUP BY 1, 2, 3) GROUP BY 1, 2),
-added AS (SELECT cand.* FROM cand JOIN (SELECT n, max(bits) AS bits FROM h GROUP BY 1) USING (n) WHERE bits >= CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN 3.0 ELSE 3.9 END),
+added AS (SELECT cand.rid, cand.k, cand.kind, cand.s, cand.e FROM cand JOIN (SELECT n, max(bits) AS bits FROM h GROUP BY 1) USING (n) WHERE bits >= CASE
+  WHEN regexp_matches(v, '^[0-9]+$') THEN 2.7 WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN 2.9 WHEN NOT regexp_matches(v, '[0-9]') THEN 3.9
+  WHEN regexp_matches(v, '^[0-9a-z]+$') OR regexp_matches(v, '^[0-9A-Z]+$') THEN 3.4 WHEN regexp_matches(v, '^[0-9A-Za-z]+$') THEN 3.65
+  WHEN regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') THEN 3.8 ELSE 3.9 END),
 b AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
   string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORDER BY s, k) AS spans FROM base GROUP BY 1),
-a AS (SELECT rid, string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORDER BY s, k) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY 1)
+a AS (SELECT rid, string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORDER BY s, k) AS spans FROM (SELECT rid, k, kind, s, e FROM base UNION ALL SELECT * FROM added) GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
 FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
 

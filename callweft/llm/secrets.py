@@ -16,20 +16,34 @@ HEX = r"[0-9a-f]{24,}"
 BASE = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Candidate strings of the entropy scan: whole runs of token characters with a digit and a letter.
+#: Candidate strings of the entropy scan: runs of token characters, and what is left of them beside allowed parts.
 RUN = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{RUN}])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[{RUN}]{{20,}}"
+CANDIDATE = rf"(?<![{RUN}])[{RUN}]{{20,}}"
 WINDOW = 20
-#: Least window entropy in bits, for strings of hexadecimal digits only and for all others.
-HEX_BITS = 3.0
-TEXT_BITS = 3.9
-#: Strings that the entropy scan leaves alone: UUIDs, counting runs, placeholders, paths.
+#: Character class of a string -> least window entropy in bits; the first class that fits counts. About
+#: 1 % of random strings of 20 characters stay below, but for letters and names with separators, which words reach too.
+CLASSES = (
+    ("digits", r"^[0-9]+$", 2.7),
+    ("hex", r"^[0-9a-fA-F]+$", 2.9),
+    ("letters", r"^[A-Za-z+/_=-]+$", 3.9),
+    ("one case", r"^([0-9a-z]+|[0-9A-Z]+)$", 3.4),
+    ("both cases", r"^[0-9A-Za-z]+$", 3.65),
+    ("one case with separators", r"^([0-9a-z+/_=-]+|[0-9A-Z+/_=-]+)$", 3.9),
+    ("both cases with separators", "", 3.8),
+)
+#: Allowed parts of a run, by their length: UUIDs, counting runs, placeholders, one character again and again.
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)0123456789|abcdefghij|example|placeholder|changeme|dummy|xxxx",
-    r"^/?[a-z0-9_-]+(/[a-z0-9_-]+){2,}/?$",
-    r"(.)\1{5}",
+    (36, r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
+    (11, "(?i)placeholder"),
+    (10, "(?i)0123456789|abcdefghij"),
+    (8, "(?i)changeme"),
+    (7, "(?i)example"),
+    (5, "(?i)dummy"),
+    (4, "(?i)xxxx"),
+    (6, rf"([{RUN}])\1{{5}}"),
 )
+#: Whole runs that are allowed: paths.
+PATH = r"^/?[a-z0-9_-]+(/[a-z0-9_-]+){2,}/?$"
 
 
 def once(value: Column, use) -> Column:
@@ -99,20 +113,31 @@ def window_entropy(string: Column, window: int = WINDOW) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["best"])
 
 
+def limit_of(value: Column) -> Column:
+    """Least entropy of a string's character class."""
+    out = F.lit(CLASSES[-1][2])
+    for _, pattern, bits in reversed(CLASSES[:-1]):
+        out = F.when(value.rlike(pattern), bits).otherwise(out)
+    return out
+
+
 def entropy_spans(text: Column, base: Column) -> Column:
-    """Candidate strings with a window of high entropy, without allowed ones and those inside base spans."""
-    candidates = found(text, len(BASE), CANDIDATE, 0, WINDOW)
+    """Candidate strings with a window of high entropy for their class, outside allowed parts and base spans."""
+    kind = len(BASE)
+    runs = F.filter(found(text, kind, CANDIDATE, 0, WINDOW), lambda c: ~c["v"].rlike(PATH))
+
+    def rest(c):
+        left = c["v"]
+        for length, pattern in ALLOWED:
+            left = F.regexp_replace(left, pattern, " " * length)
+        part = lambda x: F.struct((c["s"] + x["s"]).alias("s"), F.lit(kind).alias("k"), (c["s"] + x["e"]).alias("e"), x["v"].alias("v"))
+        return once(left, lambda v: F.transform(found(v, kind, CANDIDATE, 0, WINDOW), part))
 
     def secret(c, known):
-        value = c["v"]
-        hexadecimal = value.rlike("^[0-9a-fA-F]+$")
-        allowed = F.lit(False)
-        for pattern in ALLOWED:
-            allowed = allowed | value.rlike(pattern)
         covered = F.exists(known, lambda b: (b["s"] <= c["s"]) & (b["e"] >= c["e"]))
-        return ~covered & ~allowed & (window_entropy(value) >= F.when(hexadecimal, HEX_BITS).otherwise(TEXT_BITS))
+        return ~covered & (window_entropy(c["v"]) >= limit_of(c["v"]))
 
-    return once(base, lambda known: F.filter(candidates, lambda c: secret(c, known)))
+    return once(base, lambda known: F.filter(F.flatten(F.transform(runs, rest)), lambda c: secret(c, known)))
 
 
 def joined(spans: Column) -> Column:
