@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweft.llm.tokens import VOCABULARY, encoder
+from callweft.llm.tokens import VOCABULARY, encode
 
 MAX_TOKENS = 1024
 MAX_SEGMENTS = 256
@@ -120,7 +120,6 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments:
     limits = (max_tokens, max_segments, max_loss)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary).encode_ordinary
         pool, number = Pool(limits, POOL), TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         step = min(max_tokens, max_loss)
@@ -128,8 +127,8 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments:
         def put(segments) -> None:
             nonlocal number
             offset = 0
-            for (doc_id, ids, base), start, length in segments:
-                rows.append((doc_id, base + start, length, crc32(ids[start : start + length]), base + len(ids), number, offset))
+            for (doc_id, ids, base, total), start, length in segments:
+                rows.append((doc_id, base + start, length, crc32(ids[start : start + length]), total, number, offset))
                 offset += length
             number += 1
 
@@ -155,11 +154,10 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments:
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text) if text else []
-                ids.append(end_id)
-                whole = np.array(ids, dtype="<u4")
-                doc = (None if pd.isna(doc_id) else int(doc_id), whole, 0)
-                n, start = len(ids), 0
+                whole = np.array([*encode(text, vocabulary), end_id], dtype="<u4")
+                n, start = len(whole), 0
+                doc_id = None if pd.isna(doc_id) else int(doc_id)
+                doc = (doc_id, whole, 0, n)
                 while n - start >= step:
                     if step == max_tokens:
                         put([(doc, start, step)])
@@ -168,7 +166,8 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments:
                             put(group)
                     start += step
                 if n > start:
-                    pool.add((n - start, 1, n - start), (doc, start, n - start))
+                    rest = (doc_id, whole[start:].copy(), start, n)  # what waits holds no more than its own ids
+                    pool.add((n - start, 1, n - start), (rest, 0, n - start))
                 while pool.full():
                     close()
             yield frame()

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweft.llm.tokens import VOCABULARY, encoder
+from callweft.llm.common import Scratch
+from callweft.llm.tokens import VOCABULARY, encode
 
 #: Lengths per block of the two-level suffix sums.
 BLOCK = 1024
@@ -19,9 +20,8 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     @F.pandas_udf("long")
     def length(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(vocabulary).encode_ordinary
         for texts in batches:
-            yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([len(encode(t, vocabulary)) for t in texts], dtype="int64")
 
     return docs.select(length("text").alias("n_tokens"))
 
@@ -78,7 +78,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     Null and empty texts count as length 0; repeated rows count each; an empty table gives no rows;
     other columns are ignored.
     """
-    return limit_table(length_histogram(token_lengths(docs, vocabulary)))
+    # Written, since the table reads it twice: as few rows as there are lengths, while encoding is the work.
+    histogram = Scratch(docs.sparkSession, "lengths").keep(length_histogram(token_lengths(docs, vocabulary)), "histogram")
+    return limit_table(histogram)
 
 
 def at_limits(histogram: DataFrame, limits: DataFrame) -> DataFrame:

@@ -21,10 +21,10 @@ def sample_texts():
 
 def test_ids_are_those_of_the_named_vocabulary():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = sample_texts()
     assert [encode(t) for t in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert encode(None) == [] == encode("")
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 def check_packing(rows, docs, limit):
