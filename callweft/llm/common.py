@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,8 +22,8 @@ BATCH_ROWS = 2000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, a laptop)
-    a temporary folder is made and set as the checkpoint folder.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and the master is local (tests,
+    a laptop) a temporary folder is made and set as the checkpoint folder; a cluster has to name one.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="callweft-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
@@ -47,6 +50,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hand at most ``BATCH_ROWS`` rows to Python workers at a time, for jobs that start later in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Written intermediate tables of one operator call, in the shared folder.
 
@@ -56,6 +66,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/callweft/{name}-{uuid.uuid4().hex[:12]}"
+        self.kept: list[tuple[DataFrame, str]] = []
         self.count = 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -64,14 +75,17 @@ class Scratch:
         path = f"{self.base}/{self.count:03d}-{name}"
         with small_batches(self.spark):
             df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of a table that ``keep`` returned and nobody reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for file in df.inputFiles()[:1]:
-            folder = path(file).getParent()
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
+    def drop(self, *gone: DataFrame) -> None:
+        """Delete the files of tables that ``keep`` returned and nobody reads any more."""
+        for df, path in self.kept:
+            if any(df is g for g in gone):
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.kept = [(df, path) for df, path in self.kept if not any(df is g for g in gone)]
 
 
 def text_of(column: str = "text") -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callweft.llm.common import bound_batches
 from callweft.llm.decontaminate import contained_items
 from callweft.llm.html_extract import extract_text
 from callweft.llm.jaccard_join import jaccard_join
@@ -20,6 +21,7 @@ from callweft.llm.token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)  # whole texts go to Python workers
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
