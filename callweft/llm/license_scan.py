@@ -67,13 +67,36 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
 }
+#: The disclaimers that end the full texts of these licenses.
+BSD_DISCLAIMER = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED'
+    " TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR"
+    " CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,"
+    " PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF"
+    " LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS"
+    " SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+ISC_DISCLAIMER = (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF'
+    " MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY"
+    " DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,"
+    " ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+for _name, _end in (("BSD-3-Clause", BSD_DISCLAIMER), ("BSD-2-Clause", BSD_DISCLAIMER), ("ISC", ISC_DISCLAIMER)):
+    TEMPLATES[_name] = (TEMPLATES[_name][0] + _end, *TEMPLATES[_name])
+TEMPLATES["Unlicense"] += (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or"
+    " distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+)
+TEMPLATES["EPL-2.0"] = ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",)
 #: The GNU and Creative Commons families, by rule.
-for _version in ("2", "3"):
-    TEMPLATES[f"GPL-{_version}.0"] = (
-        f"This work is licensed under the GNU General Public License, version {_version}.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by"
-        f" the Free Software Foundation, either version {_version} of the License, or (at your option) any later version.",
-    )
+for _spdx, _kind, _versions in (("GPL", "", ("2", "3")), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", ("3",))):
+    for _version in _versions:
+        TEMPLATES[f"{_spdx}-{_version}" + ".0" * ("." not in _version)] = (
+            f"This work is licensed under the GNU {_kind}General Public License, version {_version}.",
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {_kind}General Public License as published by"
+            f" the Free Software Foundation, either version {_version} of the License, or (at your option) any later version.",
+        )
 for _kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
     for _version in ("3.0", "4.0"):
         TEMPLATES[f"CC-{_kind}-{_version}"] = (f"Licensed under CC {_kind} {_version}.", f"This work is licensed under CC {_kind} {_version}.")
@@ -110,7 +133,7 @@ class Scanner:
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
         """Start and end of the runs of lines with template words, over gaps of up to ``GAP`` other lines.
 
-        A line belongs to a run if it has a license word or at least half of its words are words of templates.
+        A line belongs to a run if it has a license word or at least half of its words, common ones left out, are words of templates.
         """
         start, end, gap, cued, at = -1, -1, 0, False, 0
         for line in text.split("\n"):
@@ -130,7 +153,7 @@ class Scanner:
             yield start, end
 
     def like_a_template(self, line: str) -> bool:
-        words = WORD.findall(line.lower())
+        words = [w for w in WORD.findall(line.lower()) if w not in COMMON]
         return bool(words) and 2 * sum(w in self.vocabulary for w in words) >= len(words)
 
     def match(self, words: list[str], wanted: list[str]) -> tuple[int, int, int, int] | None:

@@ -78,8 +78,8 @@ x AS (SELECT rid, k, kind, m[i] AS v, list_sum(list_transform(g[1:i], lambda z:
 y AS (SELECT *, s + length(v) AS e, row_number() OVER () AS n FROM x),
 base AS (SELECT * FROM y WHERE k < 3),
 runs AS (SELECT rid, n, s, {MASKED_SQL} AS mv FROM y WHERE k = 3 AND NOT regexp_matches(v, '^/?[a-z0-9_-]+(/[a-z0-9_-]+){{2,}}/?$')),
-part AS (SELECT rid, s AS at, unnest(range(1, len(m) + 1)) AS i, m, g FROM (SELECT *, regexp_extract_all(mv, '[A-Za-z0-9+/_=-]{{20,}}') AS m, regexp_split_to_array(mv, '[A-Za-z0-9+/_=-]{{20,}}') AS g FROM runs)),
-left_ AS (SELECT rid, 3 AS k, 'entropy' AS kind, m[i] AS v, at + list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS s FROM part),
+part AS (SELECT rid, s AS off, unnest(range(1, len(m) + 1)) AS i, m, g FROM (SELECT *, regexp_extract_all(mv, '[A-Za-z0-9+/_=-]{{20,}}') AS m, regexp_split_to_array(mv, '[A-Za-z0-9+/_=-]{{20,}}') AS g FROM runs)),
+left_ AS (SELECT rid, 3 AS k, 'entropy' AS kind, m[i] AS v, off + list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS s FROM part),
 cand AS (SELECT *, s + length(v) AS e, row_number() OVER () AS n FROM left_ WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = left_.rid AND b.s <= left_.s AND b.e >= left_.s + length(left_.v))),
 h AS (SELECT n, i, -sum(c / 20.0 * log2(c / 20.0)) AS bits FROM (
     SELECT n, i, ch, count(*) AS c FROM (SELECT n, i, unnest(string_split(substr(v, i, 20), '')) AS ch FROM (SELECT n, v, unnest(range(1, length(v) - 18)) AS i FROM cand)) GROUP BY 1, 2, 3) GROUP BY 1, 2),
