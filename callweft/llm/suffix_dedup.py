@@ -4,9 +4,10 @@ Only suffixes that start at minimisers are retained: of every ``WINDOW`` consecu
 the one with the least hash. Any passage of ``LEAST`` words that occurs twice starts a retained suffix at
 the same place of both occurrences. The retained suffixes that share their first ``K`` words with another
 are sorted by their words, neighbours are compared, and each match is extended right and left word by word.
-Neighbours are all partners only where few suffixes share their first ``K`` words. In larger groups a suffix
-is settled where a neighbour shares all its context; groups that hold one that isn't have every window of
-``LEAST`` words around their suffixes counted by its hash too, so no repeat is lost.
+Neighbours are all partners only where few suffixes share their first ``K`` words. In a larger group with a
+suffix no neighbour of which shares all its context, every window of ``LEAST`` words around the group's
+suffixes is compared by its hash too: inside the task that holds the whole group, or, where a group is too
+large for one task or lies in several, by a count over all tasks. So no repeat is lost.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ K = 8
 NEIGHBOURS = 2
 #: Rows of a frame that a task hands over at a time.
 FRAME = 4096
-CONTEXT = ["doc_id", "th", "pos", "key", "many", "right", "left"]
-CONTEXT_TYPES = "th long, pos int, key long, many boolean, right binary, left binary"
+#: Suffixes of one group that a task holds at a time.
+MOST = 20_000
+CONTEXT = ["doc_id", "th", "pos", "key", "n", "right", "left"]
+CONTEXT_TYPES = "th long, pos int, key long, n long, right binary, left binary"
 
 
 def slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -81,7 +84,7 @@ def suffixes(docs: DataFrame, least: int, k: int) -> DataFrame:
 
 
 def with_context(docs: DataFrame, kept: DataFrame, least: int, k: int) -> DataFrame:
-    """The kept suffixes with their first ``least`` words and the ``least`` words before, nearest first.
+    """The kept suffixes with the size of their group, their first ``least`` words and the ``least`` words before, nearest first.
 
     Words are 32-bit hashes in binary strings, so that suffixes sort by their words.
     """
@@ -90,20 +93,20 @@ def with_context(docs: DataFrame, kept: DataFrame, least: int, k: int) -> DataFr
         hashes, out = WordHashes(), []
         frame = lambda: pd.DataFrame(out, columns=CONTEXT)
         for batch in batches:
-            for doc_id, th, text, places, keys, many in zip(*(batch[c] for c in ("doc_id", "th", "text", "places", "keys", "many")), strict=True):
+            for doc_id, th, text, places, keys, sizes in zip(*(batch[c] for c in ("doc_id", "th", "text", "places", "keys", "sizes")), strict=True):
                 words = (hashes.of(words_of(text)) >> np.uint64(32)).astype(">u4")
-                for at, key, m in zip(places, keys, many, strict=True):
-                    out.append((doc_id, th, int(at), int(key), bool(m), words[at : at + least].tobytes(), words[max(0, at - least) : at][::-1].tobytes()))
+                for at, key, n in zip(places, keys, sizes, strict=True):
+                    out.append((doc_id, th, int(at), int(key), int(n), words[at : at + least].tobytes(), words[max(0, at - least) : at][::-1].tobytes()))
                     if len(out) == FRAME:
                         yield frame()
                         out.clear()
         yield frame()
 
-    spots = kept.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "key", "many")).alias("spots"))
-    spots = spots.select(F.col("doc_id").alias("id"), F.col("th").alias("text_hash"), F.col("spots.pos").alias("places"), F.col("spots.key").alias("keys"), F.col("spots.many").alias("many"))
+    spots = kept.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "key", "n")).alias("spots"))
+    spots = spots.select(F.col("doc_id").alias("id"), F.col("th").alias("text_hash"), F.col("spots.pos").alias("places"), F.col("spots.key").alias("keys"), F.col("spots.n").alias("sizes"))
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), "text")
     joined = texts.join(spots, texts["doc_id"].eqNullSafe(spots["id"]) & (texts["th"] == spots["text_hash"]))
-    out = joined.select(F.col("doc_id").cast("string"), "th", "text", "places", "keys", "many").mapInPandas(rows, f"doc_id string, {CONTEXT_TYPES}")
+    out = joined.select(F.col("doc_id").cast("string"), "th", "text", "places", "keys", "sizes").mapInPandas(rows, f"doc_id string, {CONTEXT_TYPES}")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -120,82 +123,145 @@ def common(table: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return np.minimum(first, np.minimum(sizes[a], sizes[b]))
 
 
-def compare(least: int, k: int, edges: bool):
-    """Compare sorted suffixes with their neighbours.
+def window_hashes(right, right_size, left, left_size, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``least`` words that hold the first ``k`` words of each suffix, by their start, and which exist.
+
+    Column j is the window that starts ``least - k - j`` words before the suffix.
+    """
+    side, power = least - k, np.uint64(pow(int(ODD), least, 1 << 64))
+    words = mix(np.concatenate((left[:, :side][:, ::-1], right), axis=1).astype(np.uint64) + np.uint64(1)).T.copy()
+    sums = np.zeros((len(words) + 1, words.shape[1]), np.uint64)
+    for i, column in enumerate(words):
+        sums[i + 1] = sums[i] * ODD + column
+    h = mix(sums[least:] - sums[:-least] * power).T
+    at = np.arange(h.shape[1])
+    there = (at >= side - np.minimum(left_size, side)[:, None]) & (at + least <= side + right_size[:, None])
+    return h, there
+
+
+def shared_windows(h: np.ndarray, there: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, other document) of the windows that stand in two rows or more at the same place of the suffix."""
+    row, at = np.nonzero(there)
+    values = mix(h[row, at] + at.astype(np.uint64))
+    order = np.argsort(values)
+    values, row, at = values[order], row[order], at[order]
+    run = np.cumsum(np.concatenate(([0], values[1:] != values[:-1])))
+    again = np.bincount(run)[run] > 1
+    run, row, at = run[again], row[again], at[again]
+    if not len(run):
+        return row, at, doc[row]
+    starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    index = np.cumsum(np.concatenate(([0], run[1:] != run[:-1])))
+    own = doc[row]
+    least_doc = np.minimum.reduceat(own, starts)[index]
+    next_doc = np.minimum.reduceat(np.where(own == least_doc, NO_DOC, own), starts)[index]
+    return row, at, np.where(own != least_doc, least_doc, np.where(next_doc == NO_DOC, own, next_doc))
+
+
+#: Stands for a null doc_id among numbers, after all others, and for none at all.
+NULL_DOC, NO_DOC = np.int64(2**63 - 2), np.int64(2**63 - 1)
+SPAN = ["doc_id", "th", "start", "end", "other"]
+
+
+def compare(least: int, k: int, edges: bool, most: int = MOST):
+    """Compare sorted suffixes with their neighbours, and the windows of larger groups that a task holds whole.
 
     Rows that come out: spans (doc_id, th, start, end, other); with ``edges`` the rows at a partition's ends with
-    their context, and the keys of groups of ``many`` that hold a suffix no neighbour of which shares all its context.
-    Rows that repeat the one before are left out.
+    their context, and the keys of larger groups that aren't whole here and hold a suffix no neighbour of which
+    shares all its context. Rows that repeat the one before are left out.
     """
+    columns = [*SPAN, *CONTEXT[2:]]
 
-    columns = ["doc_id", "th", "start", "end", "other", *CONTEXT[2:]]
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, int]]:
+        """Frames of whole groups, but for groups of more than ``most`` rows; the second value tells how many rows were compared before."""
+        held, old = pd.DataFrame(columns=CONTEXT), 0
+        for batch in batches:
+            held = pd.concat([held, batch[CONTEXT]], ignore_index=True) if len(held) else batch[CONTEXT].reset_index(drop=True)
+            key = held["key"].to_numpy()
+            cut = int((key != key[-1]).sum()) if len(key) else 0  # rows of a key stand together
+            if cut > old:
+                yield held[:cut], old
+                held, old = held[cut:].reset_index(drop=True), 0
+            if len(held) > most:
+                yield held, old
+                held, old = held.tail(NEIGHBOURS).reset_index(drop=True), NEIGHBOURS
+        if len(held) > old:
+            yield held, old
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = pd.DataFrame(columns=[*CONTEXT, "full"])
-        head = 0
-        for batch in batches:
-            both = pd.concat([before, batch[CONTEXT].assign(full=False)], ignore_index=True) if len(before) else batch[CONTEXT].assign(full=False)
-            same = (both[["th", "pos", "key"]] == both[["th", "pos", "key"]].shift()).all(axis=1) & (both["doc_id"].fillna("") == both["doc_id"].fillna("").shift())
-            both = both[~same].reset_index(drop=True)
+        head, last = 0, None
+        for frame, old in pieces(batches):
             if edges and head < NEIGHBOURS:
-                first = both[len(before) :].head(NEIGHBOURS - head)
+                first = frame[old:].head(NEIGHBOURS - head)
                 head += len(first)
-                yield first.drop(columns="full")
-            right, right_size = padded(both["right"].tolist(), least)
-            left, left_size = padded(both["left"].tolist(), least)
-            key, doc, th, pos = (both[c].to_numpy() for c in ("key", "doc_id", "th", "pos"))
-            full, found = both["full"].to_numpy(bool), []
-            for step in range(1, NEIGHBOURS + 1):
-                a = np.flatnonzero(key[step:] == key[:-step])
-                b = a + step
-                r, back = common(right, right_size, a, b), common(left, left_size, a, b)
-                for x in (a, b):
-                    full[x[(r == right_size[x]) & (back >= np.minimum(least - k, left_size[x]))]] = True
-                ok = r + back >= least
-                a, b, r, back = a[ok], b[ok], r[ok], back[ok]
-                for x, y in ((a, b), (b, a)):
-                    found.append(pd.DataFrame({"doc_id": doc[x], "th": th[x], "start": pos[x] - back, "end": pos[x] + r, "other": doc[y]}))
-            yield pd.concat(found, ignore_index=True)
-            both["full"] = full
-            if edges:
-                gone = both[: max(0, len(both) - NEIGHBOURS)]
-                yield opened(gone)
-            before = both.tail(NEIGHBOURS)
-        if edges and len(before):
-            yield before.drop(columns="full")
-            yield opened(before)
-
-    def opened(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": frame["key"][(frame["many"] & ~frame["full"]).astype(bool)].unique()})
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                yield first
+            last = frame.tail(NEIGHBOURS) if last is None or len(frame) >= NEIGHBOURS else pd.concat([last, frame]).tail(NEIGHBOURS)
+            yield from spans(frame, old)
+        if edges and last is not None:
+            yield last
+
+    def spans(frame: pd.DataFrame, old: int) -> Iterator[pd.DataFrame]:
+        _, group, size = np.unique(frame["key"].to_numpy(), return_inverse=True, return_counts=True)
+        n = frame["n"].to_numpy()
+        whole = size[group] >= n
+        doc = pd.to_numeric(frame["doc_id"]).astype("Int64").fillna(NULL_DOC).to_numpy(np.int64)
+        th, pos, key = (frame[c].to_numpy() for c in ("th", "pos", "key"))
+        fresh = np.concatenate(([True], (th[1:] != th[:-1]) | (pos[1:] != pos[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+        doc, th, pos, key, n, whole = doc[fresh], th[fresh], pos[fresh], key[fresh], n[fresh], whole[fresh]
+        right, right_size = padded(frame["right"][fresh].tolist(), least)
+        left, left_size = padded(frame["left"][fresh].tolist(), least)
+        full = np.zeros(len(doc), bool)
+        full[:old] = True  # told about before
+        found = []
+        for step in range(1, NEIGHBOURS + 1):
+            a = np.flatnonzero(key[step:] == key[:-step])
+            b = a + step
+            r, back = common(right, right_size, a, b), common(left, left_size, a, b)
+            for x in (a, b):
+                full[x[(r == right_size[x]) & (back >= np.minimum(least - k, left_size[x]))]] = True
+            ok = r + back >= least
+            a, b, r, back = a[ok], b[ok], r[ok], back[ok]
+            for x, y in ((a, b), (b, a)):
+                found.append((doc[x], th[x], pos[x] - back, pos[x] + r, doc[y]))
+        open_keys = np.unique(key[~full & (n > NEIGHBOURS + 1)])
+        more = np.isin(key, open_keys)
+        if edges and (more & ~whole).any():
+            yield pd.DataFrame({"key": np.unique(key[more & ~whole])})
+        at = np.flatnonzero(more & whole)
+        if len(at):
+            h, there = window_hashes(right[at], right_size[at], left[at], left_size[at], least, k)
+            row, column, other = shared_windows(h, there, doc[at])
+            order = np.lexsort((column, row))
+            row, column, other = row[order], column[order], other[order]
+            if len(row):  # neighbouring windows of a suffix make one span
+                first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (column[1:] != column[:-1] + 1))))
+                until = np.concatenate((first[1:], [len(row)])) - 1
+                x = at[row[first]]
+                begin = pos[x] - (least - k)
+                found.append((doc[x], th[x], begin + column[first], begin + column[until] + least, np.minimum.reduceat(other, first)))
+        doc, th, start, end, other = (np.concatenate(c) for c in zip(*found, strict=True))
+        ids = lambda x: pd.Series(x.astype(str), dtype=object).where(x != NULL_DOC, None)
+        yield pd.DataFrame({"doc_id": ids(doc), "th": th, "start": start.astype(np.int32), "end": end.astype(np.int32), "other": ids(other)}).drop_duplicates()
+
+    def out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in rows(batches):
             yield frame.assign(**{c: None for c in columns if c not in frame})[columns]
 
-    return whole
+    return out
 
 
-COMPARED = "doc_id string, th long, start int, end int, other string, pos int, key long, many boolean, right binary, left binary"
+COMPARED = "doc_id string, th long, start int, end int, other string, pos int, key long, n long, right binary, left binary"
 
 
 def windows_around(least: int, k: int):
     """(doc_id, th, start, h): every window of ``least`` words that holds the first ``k`` words of a suffix, by its hash."""
-    side, power = least - k, np.uint64(pow(int(ODD), least, 1 << 64))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            right, right_size = padded(batch["right"].tolist(), least)
-            left, left_size = padded(batch["left"].tolist(), least)
-            words = mix(np.concatenate((left[:, :side][:, ::-1], right), axis=1).astype(np.uint64) + np.uint64(1))
-            sums = np.zeros((len(batch), words.shape[1] + 1), np.uint64)
-            for i in range(words.shape[1]):
-                sums[:, i + 1] = sums[:, i] * ODD + words[:, i]
-            h = mix(sums[:, least:] - sums[:, :-least] * power)
-            at = np.arange(h.shape[1])
-            there = (at >= side - np.minimum(left_size, side)[:, None]) & (at + least <= side + right_size[:, None])
+            h, there = window_hashes(*padded(batch["right"].tolist(), least), *padded(batch["left"].tolist(), least), least, k)
             row, at = np.nonzero(there)
             doc, th, pos = (batch[c].to_numpy()[row] for c in ("doc_id", "th", "pos"))
-            yield pd.DataFrame({"doc_id": doc, "th": th, "start": (pos - side + at).astype(np.int32), "h": h[row, at].view(np.int64)})
+            yield pd.DataFrame({"doc_id": doc, "th": th, "start": (pos - (least - k) + at).astype(np.int32), "h": h[row, at].view(np.int64)})
 
     return rows
 
@@ -216,8 +282,8 @@ def settled(scratch: Scratch, places: DataFrame, least: int) -> DataFrame:
     return spans.select("doc_id", "th", "start", (F.col("start") + least).alias("end"), "other")
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
-    """doc_id, th, start, end, other_doc_id: passages [start, end) in words that occur elsewhere too.
+def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, most: int = MOST) -> DataFrame:
+    """doc_id, th, start, end, other_doc_id: passages [start, end) in words that occur elsewhere too; ``most``: see ``MOST``.
 
     Overlapping matches of a document make one passage; ``other_doc_id`` is the least document that a
     matched partner belongs to (the document itself where a passage repeats inside it only).
@@ -226,7 +292,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFr
     every = scratch.keep(suffixes(docs, least, k), "suffixes")
     place = F.xxhash64("doc_id", "th", "pos")
     shared = every.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b")
-    shared = scratch.keep(shared.select("key", (F.col("n") > NEIGHBOURS + 1).alias("many")), "shared")  # read back, so that the join below can split a hot key
+    shared = scratch.keep(shared.select("key", "n"), "shared")  # read back, so that the join below can split a hot key
     found = scratch.keep(with_context(docs, every.join(shared, "key"), least, k), "context")
     scratch.drop(every)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -236,15 +302,15 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFr
     order = ["key", "right", "left", "doc_id", "th", "pos"]
     ranged = found.repartitionByRange(parts, *ranges).sortWithinPartitions(*order)
     text_ids = lambda df: df.withColumn("doc_id", F.col("doc_id").cast("string"))
-    compared = scratch.keep(text_ids(ranged).mapInPandas(compare(least, k, True), COMPARED), "compared")
+    compared = scratch.keep(text_ids(ranged).mapInPandas(compare(least, k, True, most), COMPARED), "compared")
     # Neighbours in different partitions: the few rows at every edge, sorted once more among those of their key.
     # A row that is both among the first and the last of a small partition comes out twice.
     seams = compared.filter("pos is not null").withColumn("doc_id", F.col("doc_id").cast("long")).dropDuplicates(["doc_id", "th", "pos"])
-    across = text_ids(seams.repartition(parts, "key").sortWithinPartitions(*order)).mapInPandas(compare(least, k, False), COMPARED)
+    across = text_ids(seams.repartition(parts, "key").sortWithinPartitions(*order)).mapInPandas(compare(least, k, False, most), COMPARED)
     spans = compared.filter("start is not null").unionByName(across)
     spans = spans.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "start", "end", F.col("other").cast("long").alias("other"))
     unsettled = scratch.keep(compared.filter("th is null").select("key").distinct(), "unsettled")
-    around = text_ids(found.filter("many").join(unsettled, "key")).select("doc_id", "th", "pos", "right", "left").mapInPandas(windows_around(least, k), "doc_id string, th long, start int, h long")
+    around = text_ids(found.join(unsettled, "key")).select("doc_id", "th", "pos", "right", "left").mapInPandas(windows_around(least, k), "doc_id string, th long, start int, h long")
     around = scratch.keep(around.withColumn("doc_id", F.col("doc_id").cast("long")), "windows")
     spans = spans.unionByName(settled(scratch, around, least))
     best = spans.groupBy("doc_id", "th", "start", "end").agg(F.min("other").alias("other"))

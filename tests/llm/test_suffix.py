@@ -64,6 +64,16 @@ def test_passages_match_brute_force(spark):
         assert all(got[d] == want[d] for d in want)
 
 
+def test_groups_that_no_task_holds_whole_match_brute_force(spark):
+    docs = odd_docs(spark, sample(11, 60, 40)).repartition(5)
+    want = brute([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None], 50)
+    got = defaultdict(set)
+    for r in sa.repeated_passages(docs, most=4).collect():
+        if r.doc_id is not None:
+            got[r.doc_id].update(range(r.start, r.end))
+    assert got == want
+
+
 def test_edges_of_partitions_are_compared(spark):
     docs = odd_docs(spark, sample(5, 40, 60))
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
