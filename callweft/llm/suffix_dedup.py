@@ -6,8 +6,9 @@ the same place of both occurrences. The retained suffixes that share their first
 are sorted by their words, neighbours are compared, and each match is extended right and left word by word.
 Neighbours are all partners only where few suffixes share their first ``K`` words. In a larger group with a
 suffix no neighbour of which shares all its context, every window of ``LEAST`` words around the group's
-suffixes is compared by its hash too: inside the task that holds the whole group, or, where a group is too
-large for one task or lies in several, by a count over all tasks. So no repeat is lost.
+suffixes is compared by its hash too, inside the task. Of a group that isn't whole in one task each task hands
+on one place of every different window, and those that a task holds once are looked for in the others. So no
+repeat is lost.
 """
 
 from __future__ import annotations
@@ -139,23 +140,24 @@ def window_hashes(right, right_size, left, left_size, least: int, k: int) -> tup
     return h, there
 
 
-def shared_windows(h: np.ndarray, there: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, other document) of the windows that stand in two rows or more at the same place of the suffix."""
+def shared_windows(h: np.ndarray, there: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows by their hash and place in the suffix's surroundings: (row, column, other document, hash, first, single).
+
+    All windows, those of one kind together; ``first`` marks one of each kind, ``single`` kinds of one window only.
+    """
     row, at = np.nonzero(there)
     values = mix(h[row, at] + at.astype(np.uint64))
     order = np.argsort(values)
     values, row, at = values[order], row[order], at[order]
-    run = np.cumsum(np.concatenate(([0], values[1:] != values[:-1])))
-    again = np.bincount(run)[run] > 1
-    run, row, at = run[again], row[again], at[again]
-    if not len(run):
-        return row, at, doc[row]
-    starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-    index = np.cumsum(np.concatenate(([0], run[1:] != run[:-1])))
+    first = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.zeros(0, bool)
+    kind, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+    if not len(starts):
+        return row, at, doc[row], values.view(np.int64), first, first
     own = doc[row]
-    least_doc = np.minimum.reduceat(own, starts)[index]
-    next_doc = np.minimum.reduceat(np.where(own == least_doc, NO_DOC, own), starts)[index]
-    return row, at, np.where(own != least_doc, least_doc, np.where(next_doc == NO_DOC, own, next_doc))
+    least_doc = np.minimum.reduceat(own, starts)[kind]
+    next_doc = np.minimum.reduceat(np.where(own == least_doc, NO_DOC, own), starts)[kind]
+    other = np.where(own != least_doc, least_doc, np.where(next_doc == NO_DOC, own, next_doc))
+    return row, at, other, values.view(np.int64), first, np.bincount(kind)[kind] == 1
 
 
 #: Stands for a null doc_id among numbers, after all others, and for none at all.
@@ -167,10 +169,10 @@ def compare(least: int, k: int, edges: bool, most: int = MOST):
     """Compare sorted suffixes with their neighbours, and the windows of larger groups that a task holds whole.
 
     Rows that come out: spans (doc_id, th, start, end, other); with ``edges`` the rows at a partition's ends with
-    their context, and the keys of larger groups that aren't whole here and hold a suffix no neighbour of which
-    shares all its context. Rows that repeat the one before are left out.
+    their context, and of larger groups that aren't whole here one place (doc_id, th, start) of every window by its
+    hash (h, single). Rows that repeat the one before are left out.
     """
-    columns = [*SPAN, *CONTEXT[2:]]
+    columns = [*SPAN, *CONTEXT[2:], "h", "single"]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, int]]:
         """Frames of whole groups, but for groups of more than ``most`` rows; the second value tells how many rows were compared before."""
@@ -223,24 +225,26 @@ def compare(least: int, k: int, edges: bool, most: int = MOST):
             a, b, r, back = a[ok], b[ok], r[ok], back[ok]
             for x, y in ((a, b), (b, a)):
                 found.append((doc[x], th[x], pos[x] - back, pos[x] + r, doc[y]))
-        open_keys = np.unique(key[~full & (n > NEIGHBOURS + 1)])
-        more = np.isin(key, open_keys)
-        if edges and (more & ~whole).any():
-            yield pd.DataFrame({"key": np.unique(key[more & ~whole])})
-        at = np.flatnonzero(more & whole)
+        ids = lambda x: pd.Series(x.astype(str), dtype=object).where(x != NULL_DOC, None)
+        large = n > NEIGHBOURS + 1
+        at = np.flatnonzero(large & (np.isin(key, np.unique(key[~full & large])) | (edges & ~whole)))
         if len(at):
             h, there = window_hashes(right[at], right_size[at], left[at], left_size[at], least, k)
-            row, column, other = shared_windows(h, there, doc[at])
-            order = np.lexsort((column, row))
-            row, column, other = row[order], column[order], other[order]
+            row, column, other, value, first, single = shared_windows(h, there, doc[at])
+            begin = pos[at][row] - (least - k) + column
+            if edges:
+                out = first & ~whole[at][row]
+                x = at[row[out]]
+                yield pd.DataFrame({"doc_id": ids(doc[x]), "th": th[x], "start": begin[out].astype(np.int32), "h": value[out], "single": single[out]})
+            order = np.flatnonzero(~single)
+            order = order[np.lexsort((column[order], row[order]))]
+            row, column, other, begin = row[order], column[order], other[order], begin[order]
             if len(row):  # neighbouring windows of a suffix make one span
                 first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (column[1:] != column[:-1] + 1))))
                 until = np.concatenate((first[1:], [len(row)])) - 1
                 x = at[row[first]]
-                begin = pos[x] - (least - k)
-                found.append((doc[x], th[x], begin + column[first], begin + column[until] + least, np.minimum.reduceat(other, first)))
+                found.append((doc[x], th[x], begin[first], begin[until] + least, np.minimum.reduceat(other, first)))
         doc, th, start, end, other = (np.concatenate(c) for c in zip(*found, strict=True))
-        ids = lambda x: pd.Series(x.astype(str), dtype=object).where(x != NULL_DOC, None)
         yield pd.DataFrame({"doc_id": ids(doc), "th": th, "start": start.astype(np.int32), "end": end.astype(np.int32), "other": ids(other)}).drop_duplicates()
 
     def out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,43 +254,24 @@ def compare(least: int, k: int, edges: bool, most: int = MOST):
     return out
 
 
-COMPARED = "doc_id string, th long, start int, end int, other string, pos int, key long, n long, right binary, left binary"
-
-
-def windows_around(least: int, k: int):
-    """(doc_id, th, start, h): every window of ``least`` words that holds the first ``k`` words of a suffix, by its hash."""
+COMPARED = "doc_id string, th long, start int, end int, other string, pos int, key long, n long, right binary, left binary, h long, single boolean"
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            h, there = window_hashes(*padded(batch["right"].tolist(), least), *padded(batch["left"].tolist(), least), least, k)
-            row, at = np.nonzero(there)
-            doc, th, pos = (batch[c].to_numpy()[row] for c in ("doc_id", "th", "pos"))
-            yield pd.DataFrame({"doc_id": doc, "th": th, "start": (pos - (least - k) + at).astype(np.int32), "h": h[row, at].view(np.int64)})
-
-    return rows
 
-
-def settled(scratch: Scratch, places: DataFrame, least: int) -> DataFrame:
-    """doc_id, th, start, end, other: the windows whose hash stands at another place too.
-
-    ``other`` is the least other document that holds the window, or the document itself where no other does.
-    """
+def elsewhere(scratch: Scratch, windows: DataFrame, least: int) -> DataFrame:
+    """doc_id, th, start, end, other: the windows that their task holds once, and another task too; ``other`` is the least document of another place."""
     place = F.xxhash64("doc_id", "th", "start")
-    counted = places.groupBy("h").agg(F.min("doc_id").alias("first"), F.min(place).alias("a"), F.max(place).alias("b"))
-    repeated = scratch.keep(counted.filter("a <> b").select("h", "first"), "repeated")  # read back, as the shared keys are
-    again = scratch.keep(places.join(repeated, "h"), "again")
-    own = F.col("doc_id").eqNullSafe(F.col("first"))
-    second = again.filter(~own).groupBy("h").agg(F.min("doc_id").alias("second"), F.lit(True).alias("more"))
-    of_first = again.filter(own).join(second, "h", "left").withColumn("other", F.when(F.col("more"), F.col("second")).otherwise(F.col("doc_id")))
-    spans = again.filter(~own).withColumn("other", F.col("first")).unionByName(of_first.drop("second", "more"))
-    return spans.select("doc_id", "th", "start", (F.col("start") + least).alias("end"), "other")
+    counted = windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(place).alias("a"), F.max(place).alias("b"))
+    repeated = scratch.keep(counted.filter("a <> b").select("h", "first", "last"), "repeated")  # read back, as the shared keys are
+    again = windows.filter("single").join(repeated, "h")
+    other = F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first"))
+    return again.select("doc_id", "th", "start", (F.col("start") + least).alias("end"), other.alias("other"))
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, most: int = MOST) -> DataFrame:
     """doc_id, th, start, end, other_doc_id: passages [start, end) in words that occur elsewhere too; ``most``: see ``MOST``.
 
     Overlapping matches of a document make one passage; ``other_doc_id`` is the least document that a
-    matched partner belongs to (the document itself where a passage repeats inside it only).
+    partner it was compared with belongs to (the document itself where a passage repeats inside it only).
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     every = scratch.keep(suffixes(docs, least, k), "suffixes")
@@ -307,12 +292,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, most: int
     # A row that is both among the first and the last of a small partition comes out twice.
     seams = compared.filter("pos is not null").withColumn("doc_id", F.col("doc_id").cast("long")).dropDuplicates(["doc_id", "th", "pos"])
     across = text_ids(seams.repartition(parts, "key").sortWithinPartitions(*order)).mapInPandas(compare(least, k, False, most), COMPARED)
-    spans = compared.filter("start is not null").unionByName(across)
+    spans = compared.filter("end is not null").unionByName(across)
     spans = spans.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "start", "end", F.col("other").cast("long").alias("other"))
-    unsettled = scratch.keep(compared.filter("th is null").select("key").distinct(), "unsettled")
-    around = text_ids(found.join(unsettled, "key")).select("doc_id", "th", "pos", "right", "left").mapInPandas(windows_around(least, k), "doc_id string, th long, start int, h long")
-    around = scratch.keep(around.withColumn("doc_id", F.col("doc_id").cast("long")), "windows")
-    spans = spans.unionByName(settled(scratch, around, least))
+    windows = compared.filter("h is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "th", "start", "h", "single")
+    spans = spans.unionByName(elsewhere(scratch, windows, least))
     best = spans.groupBy("doc_id", "th", "start", "end").agg(F.min("other").alias("other"))
     grouped = best.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "other"))).alias("spans"))
     merged = F.expr(
