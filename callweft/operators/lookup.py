@@ -36,10 +36,32 @@ def bucket_preference(candidates: DataFrame, request: list[str], same: Column, d
     ``candidates`` has a row per request and candidate; adds ``via`` (same, default, ambiguous).
     """
     w = Window.partitionBy(*request)
-    counted = candidates.withColumn("_same", F.sum(same.cast("int")).over(w)).withColumn("_default", F.sum(default.cast("int")).over(w))
-    via = F.when(F.col("_same") == 1, "same").when(F.col("_default") == 1, "default").otherwise("ambiguous")
+    counted = candidates.withColumn("_same", F.sum(same.cast("int")).over(w)).withColumn("_by_default", F.sum(default.cast("int")).over(w))
+    via = F.when(F.col("_same") == 1, "same").when(F.col("_by_default") == 1, "default").otherwise("ambiguous")
     keep = ((F.col("via") == "same") & same) | ((F.col("via") == "default") & default) | (F.col("via") == "ambiguous")
-    return counted.withColumn("via", via).filter(keep).drop("_same", "_default")
+    return counted.withColumn("via", via).filter(keep).drop("_same", "_by_default")
+
+
+def bucket_choice(names: DataFrame, key: str, name: str, bucket: str, default: str) -> DataFrame:
+    """(key, via, target, candidates): what each of several declarations of one name sees of the others.
+
+    The rules of ``bucket_preference``, for every row as a caller: the only other one of its bucket, else the only
+    other one of the default bucket, else all others, as their number. Counts and ends per bucket and per name
+    answer it, so no pair of equal names is ever made, and a hot name is summed before it is shuffled.
+    """
+    ends = [F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last")]
+    buckets = names.groupBy(name, bucket).agg(*ends)
+    of_default = lambda c: F.when(F.col(bucket) == default, F.col(c))
+    whole = buckets.groupBy(name).agg(F.sum("n").alias("total"), F.coalesce(F.sum(of_default("n")), F.lit(0)).alias("d"), F.min(of_default("first")).alias("d_first"), F.max(of_default("last")).alias("d_last"))
+    rows = names.join(buckets, [name, bucket]).join(whole, name).filter("total > 1")
+    other = lambda first, last: F.when(F.col(first) == F.col(key), F.col(last)).otherwise(F.col(first))
+    same, by_default = F.col("n") == 2, F.col("d") - (F.col(bucket) == default).cast("int") == 1
+    return rows.select(
+        key,
+        F.when(same, "same").when(by_default, "default").otherwise("ambiguous").alias("via"),
+        F.when(same, other("first", "last")).when(by_default, other("d_first", "d_last")).alias("target"),
+        F.when(same | by_default, 1).otherwise(F.col("total") - 1).cast("long").alias("candidates"),
+    )
 
 
 def best_match(pairs: DataFrame, request: list[str], score: Column, tie: str) -> DataFrame:
@@ -84,3 +106,14 @@ def last_before(rows: DataFrame, key: str, order: list[str], value: Column) -> C
     """The last non-null value of earlier rows of the key: the nearest declaration above a use."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.last(value, ignorenulls=True).over(w)
+
+
+def counted(rows: DataFrame, names: list[str]) -> DataFrame:
+    """How many rows each name has."""
+    return rows.groupBy(*names).agg(F.count("*").alias("n"))
+
+
+def first_use(names: DataFrame, sites: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Names with the first site that has them (``order`` columns, null without one), for sorting by first appearance."""
+    first = sites.groupBy(name).agg(F.min(F.struct(*order)).alias("_first"))
+    return names.join(first, name, "left").select(*names.columns, *[F.col(f"_first.{c}").alias(f"first_{c}") for c in order])

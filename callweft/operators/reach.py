@@ -90,3 +90,16 @@ def entry_first(paths_: DataFrame) -> DataFrame:
 def layout_rows(leaves: DataFrame, group: str, order: list[str]) -> DataFrame:
     """(group, leaf rows..., row_at): leaves by a running number inside their group; a parent stands at their mean."""
     return leaves.withColumn("row_at", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def subtree_counts(rows: DataFrame) -> DataFrame:
+    """(depth, ord, node, n) of tree rows with their ``path`` from the root: every row counts for each beginning of its path."""
+    key = F.array_join("path", ">")
+    begins = rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.array_join(F.slice("path", F.lit(1), i), ">"))).alias("_key"))
+    counts = begins.groupBy("_key").agg(F.count("*").alias("n"))
+    return rows.select("depth", "ord", "node", key.alias("_key")).join(counts, "_key").drop("_key")
+
+
+def without_callers(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """Nodes that nothing calls."""
+    return nodes.join(edges.select(node), node, "left_anti")

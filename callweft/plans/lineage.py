@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
+import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@lru_cache(maxsize=8)
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this run in the session's ``spark.checkpoint.dir``, deleted when the process ends.
+
+    Only where none is set and the master is local (tests, a laptop) it lies in a temporary folder; a cluster has to name one.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="callweft-")
+    path = f"{base.rstrip('/')}/callweft/graph-{uuid.uuid4().hex[:12]}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def delete() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone by then
+            files.delete(folder, True)
+
+    atexit.register(delete)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and checkpointed, so that a loop's plan stays short and a lost executor costs one step.
+    """``df`` written and read back, so that plans stay short and a lost executor costs one step.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) a temporary one is.
+    Files have a known size, so Spark broadcasts small tables in later joins by its own size check and shuffles large ones.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="callweft-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

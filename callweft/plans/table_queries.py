@@ -111,7 +111,7 @@ def tree_stats(spark, sf_dir):
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def zero_caller_roots(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return reach.without_callers(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT coalesce(event_type, '(total)') AS kind, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ROLLUP (event_type)")
@@ -130,27 +130,29 @@ def unique_name_fallback(spark, sf_dir):
     return calls.join(owners, "p_partkey").select("l_orderkey", "l_linenumber", "p_name", "p_brand")
 
 
-@query("""WITH c AS (SELECT r.p_partkey AS caller, r.p_brand AS brand, p.p_partkey AS target, p.p_brand AS tb FROM part r JOIN part p ON r.p_name = p.p_name WHERE r.p_partkey <= 200 AND p.p_partkey <> r.p_partkey),
-n AS (SELECT *, sum((tb = brand)::INT) OVER (PARTITION BY caller) AS s, sum((tb = 'Brand#1')::INT) OVER (PARTITION BY caller) AS d FROM c)
-SELECT caller, target, CASE WHEN s = 1 THEN 'same' WHEN d = 1 THEN 'default' ELSE 'ambiguous' END AS via FROM n
-WHERE CASE WHEN s = 1 THEN tb = brand WHEN d = 1 THEN tb = 'Brand#1' ELSE true END""")
+@query("""WITH b AS (SELECT p_name, p_brand, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM part GROUP BY 1, 2),
+k AS (SELECT p_name, sum(n) AS total, sum(n) FILTER (p_brand = 'Brand#1') AS d, min(first) FILTER (p_brand = 'Brand#1') AS d1, max(last) FILTER (p_brand = 'Brand#1') AS d2 FROM b GROUP BY 1),
+r AS (SELECT p_partkey AS caller, p_brand, b.n - 1 AS same, CASE WHEN b.first = p_partkey THEN b.last ELSE b.first END AS s1,
+  coalesce(d, 0) - (p_brand = 'Brand#1')::INT AS dflt, CASE WHEN d1 = p_partkey THEN d2 ELSE d1 END AS f1, total - 1 AS others FROM part JOIN b USING (p_name, p_brand) JOIN k USING (p_name))
+SELECT caller, CASE WHEN same = 1 THEN 'same' WHEN dflt = 1 THEN 'default' ELSE 'ambiguous' END AS via, CASE WHEN same = 1 THEN s1 WHEN dflt = 1 THEN f1 END AS target,
+  CASE WHEN same = 1 OR dflt = 1 THEN 1 ELSE others END::BIGINT AS candidates FROM r WHERE others > 0""")
 def duplicate_bucket_preference(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    calls = part.filter("p_partkey <= 200").select(F.col("p_partkey").alias("caller"), "p_name", F.col("p_brand").alias("brand"))
-    found = part.select(F.col("p_partkey").alias("target"), "p_name", F.col("p_brand").alias("tb")).join(calls, "p_name").filter("target <> caller")
-    return lookup.bucket_preference(found, ["caller"], F.col("tb") == F.col("brand"), F.col("tb") == "Brand#1").select("caller", "target", "via")
+    return lookup.bucket_choice(part, "p_partkey", "p_name", "p_brand", "Brand#1").withColumnRenamed("p_partkey", "caller")
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, p_partkey, (CASE WHEN p_size = l_quantity THEN 3 WHEN abs(p_size - l_quantity) <= 2 THEN 2 ELSE 1 END) + (CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END) AS score
-  FROM lineitem JOIN part ON p_partkey % 100 = l_partkey % 100 WHERE l_linenumber = 1)
-SELECT l_orderkey, l_linenumber, score, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY score DESC, p_partkey) AS k FROM s) WHERE k = 1""")
+@query("""WITH s AS (SELECT l.l_orderkey, l.l_linenumber, p.l_linenumber AS candidate, (CASE WHEN p.l_quantity = l.l_quantity THEN 3 WHEN abs(p.l_quantity - l.l_quantity) <= 2 THEN 2 ELSE 1 END) + (CASE WHEN p.l_extendedprice > 30000 THEN 1 ELSE 0 END) AS score
+  FROM lineitem l JOIN lineitem p ON p.l_orderkey = l.l_orderkey AND p.l_linenumber <> l.l_linenumber)
+SELECT l_orderkey, l_linenumber, score, candidate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY score DESC, candidate) AS k FROM s) WHERE k = 1""")
 def overload_best_match(spark, sf_dir):
-    calls = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_partkey") % 100).alias("b"))
-    overloads = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") % 100).alias("b"))
-    close = F.when(F.col("p_size") == F.col("l_quantity"), 3).when(F.abs(F.col("p_size") - F.col("l_quantity")) <= 2, 2).otherwise(1)
-    score = close + F.when(F.col("p_retailprice") > 1000, 1).otherwise(0)
-    pairs = calls.join(overloads, "b").drop("b")
-    return lookup.best_match(pairs, ["l_orderkey", "l_linenumber"], score, "p_partkey").select("l_orderkey", "l_linenumber", "score", "p_partkey")
+    """Every line with the line of the same order (its overloads: a few) that fits it best."""
+    lines = table(spark, sf_dir, "lineitem")
+    calls = lines.select("l_orderkey", "l_linenumber", "l_quantity")
+    overloads = lines.select("l_orderkey", F.col("l_linenumber").alias("candidate"), F.col("l_quantity").alias("q"), "l_extendedprice")
+    close = F.when(F.col("q") == F.col("l_quantity"), 3).when(F.abs(F.col("q") - F.col("l_quantity")) <= 2, 2).otherwise(1)
+    score = close + F.when(F.col("l_extendedprice") > 30000, 1).otherwise(0)
+    pairs = calls.join(overloads, "l_orderkey").filter("candidate <> l_linenumber")
+    return lookup.best_match(pairs, ["l_orderkey", "l_linenumber"], score, "candidate").select("l_orderkey", "l_linenumber", "score", "candidate")
 
 
 @query("""WITH c AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
@@ -246,7 +248,8 @@ def declared_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {TYPES_SQL}, {CLOSED_SQL}, {DECLARED_SQL}
 SELECT a.owner, a.method, b.owner AS descendant FROM closed JOIN declared a ON a.owner = ancestor JOIN declared b ON b.owner = child AND b.method = a.method""")
 def override_fanout(spark, sf_dir):
-    return hierarchy.override_fanout(declared_methods(spark, sf_dir), hierarchy.closure(type_parents(spark, sf_dir)))
+    declared = declared_methods(spark, sf_dir)
+    return hierarchy.override_fanout(declared, declared, hierarchy.closure(type_parents(spark, sf_dir)))
 
 
 @query(f"""WITH RECURSIVE {TYPES_SQL}, {CLOSED_SQL}, {DECLARED_SQL}, w AS (SELECT 's' || s_suppkey AS owner, m AS method FROM supplier, (VALUES ('run'), ('init')) v(m)),
@@ -432,11 +435,11 @@ def approx_every(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, r AS (
-  SELECT 'n' || n_nationkey AS root, 'n' || n_nationkey AS node, 0 AS depth FROM nation WHERE n_regionkey = 1
+  SELECT 'n' || n_nationkey AS root, 'n' || n_nationkey AS node, 0 AS depth FROM nation
   UNION SELECT r.root, e.callee, r.depth + 1 FROM r JOIN edges e ON e.caller = r.node WHERE r.depth < 2)
 SELECT root, depth, count(*) AS nodes FROM (SELECT root, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2) GROUP BY 1, 2""")
 def trace_many_roots(spark, sf_dir):
-    starts = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("root"))
+    starts = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("root"))
     return reach.reach_depth(call_graph(spark, sf_dir), starts, 2).groupBy("root", "depth").agg(F.count("*").alias("nodes"))
 
 
