@@ -8,9 +8,10 @@ column, one from the sizes of both rows in each of 2^BLOCK_BITS blocks of column
 sum of the lesser sizes). For the survivors the product is completed over all columns, exactly.
 
 Equal sets are one row of the matrix from the start. Within a column the product is taken against a
-few hub rows a round, never for all pairs of its rows: rows that a verified link has put in one component
-need no further product, and later rounds take more hubs (1, 16, 256, ...) from columns that still hold
-several components, until none is left untested.
+few hub rows a round: rows that a verified link has put in one component need no further product, and later
+rounds take more hubs (1, 16, 256, ...) from columns that still hold several components, until none is left
+untested. Only a column whose rows no link joins is worked through by all its pairs in the end, less those that
+the bounds discard.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def reaches(overlap: Column, n: Column, m: Column, num: int, den: int) -> Column
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, comp) of every linked node; comp is the least node that its links reach.
+    """(node, comp, moved) of every linked node, a kept table; comp is the least node that its links reach.
 
     Each round hooks a component to the least one beside it and follows two hooks; the labels are
     written each round.
@@ -135,11 +136,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         moved = scratch.keep(
             labels.join(hooks, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"), F.col("p").isNotNull().alias("moved")), "labels"
         )
-        done = moved.filter("moved").isEmpty()
         scratch.drop(labels)
-        labels = moved.drop("moved") if not done else moved
-        if done:
-            return moved.select("node", "comp")
+        labels = moved
+        if moved.filter("moved").isEmpty():
+            return moved
 
 
 def join_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -159,7 +159,7 @@ def join_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     while True:
         now = entries.withColumn("comp", F.col("node"))
         if labels is not None:
-            now = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            now = entries.join(labels.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_columns = now.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("g")
         # Written first: few columns are broadcast from the start, many are joined by a sort that splits hot columns.
         open_columns = scratch.keep(open_columns, "columns")
@@ -198,14 +198,16 @@ def join_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         found = scratch.keep(verified, "links")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
+            if labels is not None:
+                scratch.drop(labels)
             labels = components(links, scratch)
         left = now.drop("comp").join(hubs.select("g", F.col("hub.node").alias("node")), ["g", "node"], "left_anti")
         entries = scratch.keep(left, "entries")
-        scratch.drop(now)
+        scratch.drop(now, hubs, pairs, wanted, open_columns)
         turn += 1
     named = nodes.select("node", "first")
     if labels is not None:
-        named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = named.join(labels.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = named.groupBy("comp").agg(F.min("first").alias("first"))
         named = named.drop("first").join(least, "comp").select("node", "first")
     return rows.join(named, "node", "left").select(
