@@ -17,27 +17,33 @@ from callweft.llm.secrets import redact
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; frequent lines leave the others."""
+    """Rejected documents go; frequent lines leave the others.
+
+    Null and empty texts have no words and go, null ids and sources are keys of their own, repeated rows are judged each.
+    """
     return apply_rules(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies stays (five-word shingles, similarity of 0.8 or more)."""
+    """One document of each group of copies stays (five-word shingles, similarity of 0.8 or more).
+
+    The one of the least id, null ids last; of rows that repeat id and text one stays; texts without words all stay.
+    """
     return first_of_each(docs, 5, 80, 100)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null texts and items contain nothing and are contained nowhere."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark; null texts stay null."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens; a null text is one id, repeated rows are packed each."""
     return pack_documents(docs)
 
 
@@ -54,12 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; an empty table gives no rows, extra columns are carried along until packing."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         done = scratch.keep(stage(spark, docs, sf_dir), name)
-        if docs.inputFiles() and name != STAGES[0][0]:
-            scratch.drop(docs)
+        scratch.drop(docs)  # the table of the stage before; the input isn't one of scratch's
         docs = done
     return docs
