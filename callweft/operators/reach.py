@@ -18,6 +18,7 @@ def reach_depth(edges: DataFrame, seeds: DataFrame, max_depth: int = 8) -> DataF
     ``seeds`` is (root); many roots are traced in the same joins. A node is expanded once per root: a
     level is the distinct successors of the last one that aren't known yet.
     """
+    edges = cut(edges.select("caller", "callee"))  # every level reads them
     level = seeds.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
     known = level
     for depth in range(1, max_depth + 1):
@@ -53,7 +54,7 @@ def fair_cap(edges: DataFrame, root: str, max_depth: int, max_nodes: int) -> Dat
     Groups of a level are taken in the order of their parent, then by name; each node once. The cap is a
     distributed top-k per level, the result is at most ``max_nodes`` rows.
     """
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, cut(edges)
     level = spark.createDataFrame([(0, root, None, 1)], "depth int, node string, parent string, ord long")
     known, count = level, 1
     for depth in range(1, max_depth + 1):
