@@ -93,10 +93,51 @@ a AS (SELECT rid, string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORD
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
 FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
 
+FILTER_AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{WS}'), lambda x: x <> '') AS w FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) a, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) b, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) c,
+    (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) d, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, step, o[step] AS letter, 1 << (ascii(o[step]) - 65) AS bit, list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(o[i]) - 65))) AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, o, step, letter, sum(CASE WHEN mask & bit = 0 AND mask & coalesce(earlier, 0) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit > 0 AND mask & coalesce(earlier, 0) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit > 0 AND mask & coalesce(earlier, 0) > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit > 0 AND mask & coalesce(earlier, 0) = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit > 0 AND mask & coalesce(earlier, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s, m GROUP BY ALL)
+SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r"""
+
+#: Fixed strings of the template, and what each turn and message adds to the texts.
+CHATS = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+t AS (SELECT *, lag(role) OVER w IS DISTINCT FROM role AS begins, length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*(/?(INST|ROLE|SYS)|TURN)\]')) AS shown FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(shown) + sum(CASE WHEN begins THEN length('<s>[ROLE]' || role || '[/ROLE]' || '</s>') ELSE length('[TURN]') END))::BIGINT AS formatted_chars, count(*) FILTER (begins)::BIGINT AS n_messages
+FROM t GROUP BY conv_id"""
+
+FILL_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS g FROM d),
+c AS (SELECT *, least(g[1] % (len(u) + 1), g[2] % (len(u) + 1)) AS a, greatest(g[1] % (len(u) + 1), g[2] % (len(u) + 1)) AS b FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix,
+  CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR g[3] % 100 >= 90 THEN 'plain' WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
 SQL = {
     "op2_secret_scan": SECRETS,
     "op1_decontaminate": DECONTAMINATE,
     "op6_sentence_dedup": SENTENCES,
     "op7_quality_rules": QUALITY,
     "op10_jaccard_join": JACCARD,
+    "op11_filter_audit": FILTER_AUDIT,
+    "op12_chat_format": CHATS,
+    "op13_fill_middle": FILL_MIDDLE,
 }

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callweft.llm.chat_format import chat_digests, format_chats, with_probe
 from callweft.llm.common import bound_batches
 from callweft.llm.decontaminate import contained_items
+from callweft.llm.fill_middle import fill_middle_digests
+from callweft.llm.filter_audit import filter_audit
 from callweft.llm.html_extract import extract_text
 from callweft.llm.jaccard_join import jaccard_join
 from callweft.llm.license_scan import license_scan
@@ -65,10 +68,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digests(format_chats(with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontaminate, op2_secret_scan, op3_suffix_dedup, op4_html_extract, op5_license_scan, op6_sentence_dedup, op7_quality_rules, op8_packing, op9_token_counts, op10_jaccard_join)
+        for f in (op1_decontaminate, op2_secret_scan, op3_suffix_dedup, op4_html_extract, op5_license_scan, op6_sentence_dedup, op7_quality_rules, op8_packing, op9_token_counts, op10_jaccard_join, op11_filter_audit, op12_chat_format, op13_fill_middle)
     }
 
 
