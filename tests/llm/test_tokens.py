@@ -1,16 +1,18 @@
 """Packing and token counts: exact round trip and brute force."""
 
 import random
+import time
 from collections import defaultdict
 from zlib import crc32
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from odd import DOC_SCHEMA, doc_rows, odd_docs
 from tokenizers import Tokenizer
 
 from callweft.llm import packing, token_counts
-from callweft.llm.tokens import encode
+from callweft.llm.tokens import SPECIAL, encode
 
 
 def sample_texts():
@@ -27,6 +29,36 @@ def test_ids_are_those_of_the_named_vocabulary():
     assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
+def long_runs():
+    """Runs of two million blanks and letters, alone and inside prose, and shorter ones about the border of the cut."""
+    rng = random.Random(8)
+    prose = " ".join(rng.choice(["the", "naïve", "x1", "don't"]) for _ in range(50))
+    for run in (" " * 2_000_000, "\n" * 2_000_000, "\t" * 2_000_000, "a" * 2_000_000):
+        yield run
+        yield f"{prose}{run}{prose}"
+    kinds = [" ", "\n", "\r\n", "\u2003", "\x1c", "\xa0 ", " \n"]
+    for run in ["".join(rng.choice(kinds) for _ in range(n)) for n in (99_999, 100_000, 100_001, 250_000)] + [c * 120_000 for c in kinds]:
+        yield f"{prose}{run}{prose} {SPECIAL}{run}\n{SPECIAL}"
+        yield f"{run}'s{run}"
+
+
+def test_long_runs_give_the_ids_of_the_named_vocabulary():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in long_runs():
+        began = time.process_time()
+        got = encode(text)
+        assert time.process_time() - began < 5
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_are_packed_and_counted(spark):
+    docs = spark.createDataFrame(doc_rows(["a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "short"]), DOC_SCHEMA)
+    check_packing(packing.pack_documents(docs).collect(), docs.collect(), 1024)
+    assert {r.context_limit for r in token_counts.token_counts(docs).collect()} == {len(encode(r.text)) for r in docs.collect()}
+    step = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    check_packing(step.collect(), docs.collect(), 1024)
+
+
 def check_packing(rows, docs, limit):
     ids = defaultdict(list)
     for r in docs:
