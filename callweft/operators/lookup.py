@@ -97,9 +97,13 @@ def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str)
 
 
 def evidence_before(rows: DataFrame, evidence: DataFrame, key: str, at: str, what: str) -> DataFrame:
-    """Distinct evidence of the same key that stands strictly before a row (range join inside the key)."""
-    proof = evidence.select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.col(what).alias("evidence"))
-    return rows.join(proof, (F.col(key) == F.col("_k")) & (F.col("_at") < F.col(at))).select(*rows.columns, "evidence").distinct()
+    """Distinct rows with each distinct evidence of the same key that stands strictly before them.
+
+    The first place of each value is all that counts, so repeated evidence is summed up before it is shuffled, and a row
+    meets every value of its key once.
+    """
+    first = evidence.groupBy(F.col(key).alias("_k"), F.col(what).alias("evidence")).agg(F.min(at).alias("_at"))
+    return rows.distinct().join(first, (F.col(key) == F.col("_k")) & (F.col("_at") < F.col(at))).select(*rows.columns, "evidence")
 
 
 def last_before(rows: DataFrame, key: str, order: list[str], value: Column) -> Column:

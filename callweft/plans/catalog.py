@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from callweft.plans import code_queries, table_queries
+from callweft.plans import code_queries, graph_queries, table_queries
 
 FLAGSHIP = "trace_reach_depth"
 
 
 def queries():
-    return {**table_queries.QUERIES, **code_queries.QUERIES}
+    return {**table_queries.QUERIES, **graph_queries.QUERIES, **code_queries.QUERIES}
 
 
 def oracle_sql():
-    return {**table_queries.SQL, **code_queries.SQL}
+    return {**table_queries.SQL, **graph_queries.SQL, **code_queries.SQL}

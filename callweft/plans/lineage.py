@@ -7,8 +7,11 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +47,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(spark: SparkSession, *makers: Callable) -> list:
+    """Results of functions that start jobs of their own, run side by side: planning and small jobs leave most cores idle."""
+    shared_folder(spark)  # made once, before the threads ask for it
+    with ThreadPoolExecutor(len(makers)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(maker)) for maker in makers]]

@@ -1,0 +1,129 @@
+"""Scopes, receivers and brackets of sources: the cases that patterns over one line don't see."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from callweft.plans import sample
+from callweft.plans.graph import CodeGraph
+from callweft.sources import lexing
+from callweft.sources.facts import Facts
+
+DEEP = "".join(f"f{i}(" for i in range(10)) + "1" + ")" * 10
+FILES = {
+    "/w/a/B.cls": "public class B { public static B make() { return null; } public static void aura() { } public void run() { } public B self() { return this; } public B other() { return this; } public C c; public List<B> all() { return null; } }",
+    "/w/a/C.cls": "public class C { public void cee() { } public void run() { } public B b; @AuraEnabled public static void caura() { } }",
+    "/w/a/Init.cls": "public class Init { B f = B.make();\n static { B.aura(); }\n { B.make().run(); } Integer i = 1, j = 2; List<B> made = new List<B>{ new B(), B.make() }; }",
+    "/w/a/Dots.cls": "public class Dots { B field1; void a(B q, Object o) { q.c.cee(); q.prop.cee(); this.field1.c.cee(); q.c.b.c.cee(); ext.Gate.ping(); o.x.y(); } }",
+    "/w/a/Lines.cls": "public class Lines { void a(B q, Map<Id, B> m, B[] xs) { q\n  .run(); q . self ( )\n  .run ( ) ; m.values()[0].run(); xs[ xs.size() - 1 ]\n?.run(); B\n.make(/* x( */)\n// y.run()\n.self().run(); m.get('a.b()').all()[1].c.cee(); } }",
+    "/w/a/Vars.cls": "public class Vars { B v; void a() { B x, y = B.make(), z; C w; y.run(); z.run(); { C y; y.run(); } if (1 < 2) { String v; v.length(); } v.run(); for (C v : list) v.run(); for (Integer i = 0, n = f(1, 2); i < n; i++) { C v; } v.self(); try { } catch (Bad v) { v.fix(); } } void b() { y.run(); } }",
+    "/w/a/Bad.cls": "public class Bad extends Exception { public void fix() { } }",
+    "/w/a/Nest.cls": "public class Nest { class In { class Deep { void a() { B.aura(); } B bb = B.make(); } void c() { new Deep().a(); } } void d() { B.aura(); } }",
+    "/w/a/Args.cls": f"public class Args {{ void a(B b) {{ f0({DEEP}, new Map<Id, List<B>>{{ 'k' => null }}, (1 > 2 ? 'a, (b' : 'c'), b.self().c, x[1]); }} void f0(Object o, Map<Id, List<B>> m, String s, C c, Object y) {{ }} }}",
+    "/w/a/Chains.cls": "public class Chains { B b; void long1() { " + "b" + ".self().other()" * 15 + ".run(); } void twice() { b.self().self().all(); } }",
+    "/w/scripts/Once.apex": "B b = new B();\nb.self().run();\nfor (B x : b.all()) { x.run(); }",
+}
+
+
+@pytest.fixture(scope="module")
+def graph(spark):
+    return CodeGraph(sample.frame(spark, FILES), prefixes=spark.createDataFrame([("/w/a/", "b", False), ("/w/scripts/", "main", True)], "prefix string, label string, is_default boolean"))
+
+
+@pytest.fixture(scope="module")
+def edges(graph):
+    out = {}
+    for r in graph.edges.collect():
+        out.setdefault(f"{r.caller_class}#{r.caller_method}", []).append((f"{r.target_class}#{r.target_method}", r.via))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_initialisers_and_blocks_have_edges(edges):
+    assert edges["init#(init)"] == [("b#<init>", "new"), ("b#aura", "static"), ("b#make", "static"), ("b#make", "static"), ("b#make", "static"), ("b#run", "typed")]
+
+
+def test_dotted_variables_are_followed_and_never_packages(graph, edges):
+    # q.prop has no type, so the only class with that method is a guess; ext.Gate is another package's.
+    assert edges["dots#a"] == sorted([("c#cee", "typed")] * 3 + [("c#cee", "unique-name"), ("ext.gate#ping", "external")])
+    assert {r["class"] for r in graph.externals().collect()} == {"gate"}
+    assert {r.caller: r.n for r in graph.resolver.unresolved().collect()}["dots#a"] == 1
+
+
+def test_calls_over_several_lines_and_through_collections(edges):
+    assert edges["lines#a"] == sorted([("b#run", "typed")] * 5 + [("b#self", "typed")] * 2 + [("b#make", "static"), ("b#all", "typed"), ("c#cee", "typed")])
+
+
+def test_declarators_and_block_scopes(edges):
+    assert edges["vars#a"] == sorted([("b#make", "static"), ("b#run", "typed"), ("b#run", "typed"), ("c#run", "typed"), ("b#run", "typed"), ("c#run", "typed"), ("b#self", "typed"), ("bad#fix", "typed")])
+    assert "vars#b" not in edges
+
+
+def test_classes_in_any_depth(edges):
+    assert edges["nest.in.deep#a"] == [("b#aura", "static")] and edges["nest.in.deep#(init)"] == [("b#make", "static")]
+    assert edges["nest#d"] == [("b#aura", "static")]
+
+
+def test_arguments_inside_brackets_inside_brackets(graph):
+    row = graph.edges.filter("caller_class = 'args' and target_method = 'f0'").collect()
+    args = {r.args_rendered for r in row}
+    assert f"o: {DEEP}, m: new Map<Id, List<B>>{{ 'k' => null }}, s: (1 > 2 ? 'a, (b' : 'c'), c: b.self().c, y: x[1]" in args
+    inner = graph.facts.calls.filter("class_lc = 'args' and name = 'f9'").first()
+    assert inner.args == ["1"]
+
+
+def test_long_chains_and_repeated_methods_have_no_type(graph, edges):
+    assert set(edges["chains#long1"]) == {("b#self", "typed"), ("b#other", "typed"), ("b#self", "unique-name"), ("b#other", "unique-name")}
+    assert edges["chains#twice"].count(("b#self", "typed")) == 2 and ("b#all", "unique-name") in edges["chains#twice"]
+
+
+def test_scripts_have_a_scope_of_their_own(edges):
+    assert edges["once#(anonymous)"] == sorted([("b#<init>", "new"), ("b#self", "typed"), ("b#run", "typed"), ("b#all", "typed"), ("b#run", "typed")])
+
+
+def test_packages_of_methods_in_the_catalog(graph):
+    assert {r.label: r.package for r in graph.catalog().collect() if r.kind == "aura"} == {"C.caura": "b"}
+
+
+def brute_fault(text):
+    """The first bracket that closes nothing or the wrong one, else the last one left open, with line and column."""
+    stack, line, start, i = [], 1, 0, 0
+    partner = {")": "(", "]": "[", "}": "{"}
+    depth_wrong = None
+    while i < len(text):
+        c = text[i]
+        if c == "\n":
+            line, start = line + 1, i + 1
+        elif c in "([{":
+            stack.append((line, i - start, c))
+        elif c in partner:
+            if not stack or stack[-1][2] != partner[c]:
+                depth_wrong = (line, i - start, c)
+                break
+            stack.pop()
+        i += 1
+    return depth_wrong or (stack[-1] if stack else None)
+
+
+def test_faults_of_cut_files_match_brute_force(spark):
+    rng = random.Random(4)
+    whole = "class A {\n  void m(Integer x) {\n    a[1] = f(g(x), { h });\n    if (x) {\n y(); }\n  }\n}\n"
+    texts = {}
+    for i in range(120):
+        a, b = sorted(rng.sample(range(len(whole)), 2))
+        texts[f"/w/{i}.cls"] = whole[:a] + whole[b:] if i % 2 else whole[: max(a, 1)]
+    got = {r.path: (r.line, r.col, r.token) for r in lexing.faults(lexing.tokens(lexing.pieces(sample.frame(spark, texts)))).collect()}
+    assert got == {p: f for p, t in texts.items() if (f := brute_fault(t))}
+    assert len(got) > 50
+
+
+def test_facts_before_a_fault_stay(spark):
+    facts = Facts(sample.frame(spark, {"/w/X.cls": "public class X { void a() { B.make(); }\n void b() { C.go(; }", "/w/E.cls": "", "/w/N.cls": None}))
+    assert {(r.method, r.name) for r in facts.calls.collect()} >= {("a", "make")}
+    assert {(r.path, r.message) for r in facts.errors().collect()} == {("/w/X.cls", "Line 2:23: unexpected '}'")}
+
+
+def test_pieces_are_the_text(spark):
+    texts = [*FILES.values(), "a 'x // (y) { \\' z' b // c { 'q'\n/* d\n} */ e", "/* open", "'open", "List<Map<Id, Set<String>>> x; a < b; c <> d"]
+    rows = lexing.pieces(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")).select("path", F.array_join("pieces", "").alias("t")).collect()
+    assert {int(r.path): r.t.rstrip() for r in rows} == {i: t.rstrip() for i, t in enumerate(texts)}
