@@ -10,7 +10,7 @@ containers inside it that pass on next to nothing because of their names are lef
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,7 +30,8 @@ CLOSES_P = frozenset(
 #: An element of the key is closed by the start of one of these, up to the list or table around it.
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol menu dl table select html body article div section td th".split())
-#: Elements that are never part of an article; a header is one unless it stands in an article or section.
+#: Elements that are never part of an article, forms only where they don't hold most of the page's text. A header is one
+#: unless it stands in an article or section, or among the paragraphs of another element.
 DROPPED = frozenset("head script style noscript template iframe svg canvas object nav menu footer aside form button select textarea dialog".split())
 PARTS = frozenset("article section main".split())
 #: Words of class, id and role that tell of a part beside the article.
@@ -68,12 +69,17 @@ def telling(attrs: str) -> bool:
 class Page:
     """Elements (parent, tag, lowered) and text blocks (element, text, characters inside links) of a page."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, forms: bool = False, heads: frozenset[int] = frozenset()):
+        """``forms``: read forms like other elements; ``heads``: numbers of headers that are read too."""
+        self.dropping = DROPPED - {"form"} if forms else DROPPED
+        self.in_forms = 0  # characters that were left out for a form around them alone
+        self.heads, self.n_headers = heads, 0
+        self.headers: list[tuple[int, int]] = []  # element around, number: headers that were left out
         self.parent, self.tag, self.lowered = [-1], ["#root"], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.open: list[int] = [0]
         self.holders: list[int] = [0]  # the open elements that aren't inline
-        self.n_open: Counter = Counter()  # by tag, so that nothing is looked for in vain
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # by tag: where its open elements stand in self.open
         self.pieces: list[str] = []
         self.links = self.in_link = 0
         self.dropped = 0  # place in self.open of the outermost dropped element
@@ -101,11 +107,16 @@ class Page:
 
     def text(self, raw: str) -> None:
         if self.dropped:
+            if self.tag[self.open[self.dropped]] == "form" and not any(self.places[t] for t in DROPPED if t != "form"):
+                self.in_forms += len(raw.strip())
             return
         self.pieces.append(raw)
         if self.in_link:
             self.links += len(raw)
 
+    def is_page_header(self, tag: str) -> bool:
+        return tag == "header" and self.n_headers not in self.heads and not any(self.places[t] for t in PARTS)
+
     def flush(self) -> None:
         if self.pieces:
             raw = "".join(self.pieces)
@@ -117,7 +128,7 @@ class Page:
 
     def pop(self) -> None:
         tag = self.tag[self.open.pop()]
-        self.n_open[tag] -= 1
+        self.places[tag].pop()
         if tag == "a":
             self.in_link -= 1
         if len(self.open) == self.dropped:
@@ -128,16 +139,10 @@ class Page:
 
     def close_to(self, tags, stop) -> None:
         """Close the innermost open element of these tags with all inside it, if none of ``stop`` is in between."""
-        if not any(self.n_open[t] for t in tags):
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[i]]
-            if tag in tags:
-                while len(self.open) > i:
-                    self.pop()
-                return
-            if tag in stop:
-                return
+        at = max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+        if at and not any(self.places[t] and self.places[t][-1] > at for t in stop):
+            while len(self.open) > at:
+                self.pop()
 
     def start(self, tag: str, attrs: str) -> None:
         if tag in CLOSES_P:
@@ -155,12 +160,15 @@ class Page:
         self.parent.append(self.open[-1])
         self.tag.append(tag)
         self.lowered.append(bool(attrs) and tag not in PLAIN and telling(attrs))
-        if not self.dropped and (tag in DROPPED or tag == "header" and not any(self.n_open[t] for t in PARTS)):
+        self.n_headers += tag == "header"
+        if not self.dropped and (tag in self.dropping or self.is_page_header(tag)):
+            if tag == "header":
+                self.headers.append((self.open[-1], self.n_headers))
             if tag in INLINE:
                 self.text(" ")
             self.dropped = len(self.open)
         self.open.append(len(self.tag) - 1)
-        self.n_open[tag] += 1
+        self.places[tag].append(len(self.open) - 1)
         if tag == "a":
             self.in_link += 1
         if tag not in INLINE:
@@ -240,11 +248,24 @@ def kept_elements(page: Page, scores: Scores) -> set[int]:
     return kept
 
 
+def parsed(html: str) -> Page:
+    """The page; read again where most of its text stands in a form, or where a header stands among an element's paragraphs.
+
+    Such a header, beside two paragraphs or more of its own parent, is an article's; others outside articles are the page's.
+    """
+    page = Page(html)
+    forms = page.in_forms > sum(len(text) for _, text, _ in page.blocks)
+    page = Page(html, forms) if forms else page
+    paragraphs = Counter(page.parent[node] for node, text, _ in page.blocks if page.tag[node] == "p" and len(text) >= LEAST_LENGTH)
+    heads = frozenset(number for around, number in page.headers if paragraphs[around] > 1)
+    return Page(html, forms, heads) if heads else page
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one a line; empty if there is none."""
     if not html:
         return ""
-    page = Page(html)
+    page = parsed(html)
     if not page.blocks:
         return ""
     scores = Scores(page)

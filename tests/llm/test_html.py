@@ -74,7 +74,7 @@ def test_nothing_of_the_article_is_lost_by_its_names():
 
 def brute_text(html):
     """The same rules over the page's elements, each sum taken anew over all blocks below an element."""
-    p = he.Page(html)
+    p = he.parsed(html)
     ups = []
     for i in range(len(p.tag)):
         chain = [i]
@@ -173,3 +173,27 @@ def test_odd_rows(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     long = "<article>" + paragraphs(*[P1] * 20000) + "</article>"
     assert main_text(long) == "\n".join([P1] * 20000)
+
+
+LONG = "<p>" + "This is a long paragraph, with many words, and commas in it. " * 3 + "</p>"
+
+
+def test_a_form_around_the_page_is_read_and_one_inside_is_not():
+    inner = '<form><p>Write to us, please, we answer every letter, soon.</p><select><option>one</option></select><input></form>'
+    whole = f'<html><body><form id="f" action="/"><div class="post"><h1>Its title</h1>{LONG}{LONG}</div><select><option>x</option></select><script>var a;</script></form></body></html>'
+    assert main_text(whole).splitlines()[0] == "Its title" and len(main_text(whole).splitlines()) == 3
+    assert "Write" not in main_text(f"<html><body><div><h1>Its title</h1>{LONG}{inner}{LONG}</div></body></html>")
+
+
+def test_a_header_among_paragraphs_holds_the_headline():
+    page = f'<html><body><header><h1>Site</h1><p>The motto of the site, as always.</p></header><div class="post"><header><h1>Its title</h1></header>{LONG}{LONG}</div></body></html>'
+    assert main_text(page).splitlines()[0] == "Its title" and "Site" not in main_text(page)
+
+
+def test_closing_tags_is_linear():
+    took = []
+    for n in (4000, 32000):
+        began = time.process_time()
+        main_text("<i><div>" + "<span>" * n + "</i>" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 3 and took[1] < 40 * max(took[0], 0.01)
