@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweft.llm.common import placed
+
 #: The control strings of the template.
 BEGIN, END, ROLE, BODY, NEXT = "<s>", "</s>", "[ROLE]", "[/ROLE]", "[TURN]"
 #: Control strings that a text may not show as they are: those above and the instruction marks of common templates.
@@ -12,8 +14,6 @@ AFTER_ANGLE, AFTER_SQUARE = r"\\*/?s>", r"\\*(?:/?(?:INST|ROLE|SYS)|TURN)\]"
 LEARNED = "assistant"
 #: Turn numbers of a conversation that one task sorts at a time.
 SEGMENT = 64
-#: Texts that are summed at a time for the places of the mask.
-BLOCK = 256
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 
@@ -44,32 +44,15 @@ def merged(messages: Column) -> Column:
 
 
 def mask_spans(messages: Column) -> Column:
-    """Byte spans [start, stop) of the learned texts in the formatted conversation.
-
-    Lengths are summed in blocks, so that appending to arrays stays cheap in long conversations.
-    """
+    """Byte spans [start, stop) of the learned texts in the formatted conversation."""
     head = F.octet_length(F.lit(BEGIN + ROLE + BODY))
     lead = lambda m, k: F.when(k == 0, head + F.octet_length(m["role"])).otherwise(len(NEXT))
     tail = lambda m, k: F.when(k == F.size(m["texts"]) - 1, len(END)).otherwise(0)
     piece = lambda m, x, k: F.struct(lead(m, k).cast("long").alias("lead"), F.octet_length(x).cast("long").alias("n"), tail(m, k).cast("long").alias("tail"), (m["role"] == LEARNED).alias("learned"))
     pieces = F.flatten(F.transform(messages, lambda m: F.transform(m["texts"], lambda x, k: piece(m, x, k))))
     size = lambda p: p["lead"] + p["n"] + p["tail"]
-    total = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda s, p: s + size(p))
-    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
-
-    def blocks(p: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda b: F.slice(p, b * BLOCK + 1, BLOCK))
-
-    def starts(b: Column) -> Column:
-        none = F.array().cast("array<bigint>")
-        return F.aggregate(F.transform(b, total), state(F.lit(0).cast("long"), none), lambda s, n: state(s["at"] + n, F.concat(s["out"], F.array(s["at"]))), lambda s: s["out"])
-
-    def spans(block: Column, at: Column) -> Column:
-        span = lambda s, p: F.array(F.struct((s["at"] + p["lead"]).alias("start"), (s["at"] + p["lead"] + p["n"]).alias("stop")))
-        step = lambda s, p: state(s["at"] + size(p), F.when(p["learned"], F.concat(s["out"], span(s, p))).otherwise(s["out"]).cast(SPANS))
-        return F.aggregate(block, state(at, F.array().cast(SPANS)), step, lambda s: s["out"])
-
-    return bound(pieces, lambda p: bound(blocks(p), lambda b: F.flatten(F.zip_with(b, starts(b), spans))))
+    span = lambda at, p: F.array(F.struct((at + p["lead"]).alias("start"), (at + p["lead"] + p["n"]).alias("stop")))
+    return placed(pieces, size, lambda at, p: F.when(p["learned"], span(at, p)).otherwise(F.array().cast(SPANS)), SPANS)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:

@@ -98,6 +98,27 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
+def placed(items: Column, size, emit, kind: str, block: int = 256) -> Column:
+    """What ``emit(at, item)`` (an array of SQL type ``kind``) gives for every item, at the sum of the sizes before it.
+
+    Sizes are summed in blocks, so that arrays which grow stay short: linear in the number of items.
+    """
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    state = lambda at, out: F.struct(at.cast("long").alias("at"), out.alias("out"))
+    total = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + size(x))
+    blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(p), F.lit(1)) - 1) / block).cast("int")), lambda i: F.slice(p, i * block + 1, block))
+
+    def starts(b: Column) -> Column:
+        begun = state(F.lit(0), F.array().cast("array<bigint>"))
+        return F.aggregate(F.transform(b, total), begun, lambda s, n: state(s["at"] + n, F.concat(s["out"], F.array(s["at"]))), lambda s: s["out"])
+
+    def inside(b: Column, at: Column) -> Column:
+        step = lambda s, x: state(s["at"] + size(x), F.concat(s["out"], emit(s["at"], x)).cast(kind))
+        return F.aggregate(b, state(at, F.array().cast(kind)), step, lambda s: s["out"])
+
+    return once(items, lambda p: once(blocks(p), lambda b: F.flatten(F.zip_with(b, starts(b), inside))))
+
+
 def same_row(left: DataFrame, right: DataFrame, *keys: str) -> Column:
     """Join condition on keys that may be null."""
     out = F.lit(True)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweft.llm.common import text_of
+from callweft.llm.common import placed, text_of
 
 #: The base patterns, the group whose length counts, and its least length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -20,6 +20,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 RUN = "A-Za-z0-9+/_=-"
 CANDIDATE = rf"(?<![{RUN}])[{RUN}]{{20,}}"
 WINDOW = 20
+SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
 #: Character class of a string -> least window entropy in bits; the first class that fits counts. About
 #: 1 % of random strings of 20 characters stay below, but for letters and names with separators, which words reach too.
 CLASSES = (
@@ -51,7 +52,7 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def found(text: Column, kind: int, pattern: str, group: int, least: int, keep: Column | None = None) -> Column:
+def found(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Array of (s, k, e, v) of the leftmost non-overlapping matches of a pattern, in code points.
 
     The pieces between matches and the matches alternate, so running sums of their lengths are the
@@ -61,17 +62,15 @@ def found(text: Column, kind: int, pattern: str, group: int, least: int, keep: C
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.split(text, pattern, -1)
     zipped = F.arrays_zip(F.transform(gaps, F.char_length).alias("g"), whole.alias("m"), part.alias("p"))
-    empty = F.expr("cast(array() as array<struct<s:int,k:int,e:int,v:string>>)")
+    length = lambda x: F.coalesce(F.char_length(x["m"]), F.lit(0))
 
-    def step(acc, x):
-        start = acc["at"] + x["g"]
-        end = start + F.coalesce(F.char_length(x["m"]), F.lit(0))
-        hit = F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), x["m"].alias("v"))
-        counts = F.char_length(x["p"]) >= least
-        return F.struct(end.alias("at"), F.when(counts, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
-
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    def hit(at, x):
+        start = (at + x["g"]).cast("int")
+        span = F.struct(start.alias("s"), F.lit(kind).alias("k"), (start + length(x)).alias("e"), x["m"].alias("v"))
+        return F.when(F.char_length(x["p"]) >= least, F.array(span)).otherwise(F.array().cast(SPANS))
+
+    spans = placed(zipped, lambda x: x["g"] + length(x), hit, SPANS)
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
 
 
 def window_entropy(string: Column, window: int = WINDOW) -> Column:

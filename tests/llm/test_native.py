@@ -179,3 +179,16 @@ def test_redaction(spark):
                 want += text[at:s] + "[SECRET]"
             at = max(at, e)
         assert after[doc_id].text == want + text[at:] and after[doc_id].n_chars == len(after[doc_id].text)
+
+
+def test_spans_of_many_matches_take_linear_time(spark):
+    n = 40_000
+    text = "".join(f"password = abc{i}\n" for i in range(n))
+    row = sec.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans, at = [], 0
+    for i in range(n):
+        value = f"password = abc{i}"
+        if len(f"abc{i}") >= 6:
+            spans.append(f"assign:{at}:{at + len(value)}")
+        at += len(value) + 1
+    assert row.n_assign == len(spans) and row.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
