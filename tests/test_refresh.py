@@ -1,0 +1,53 @@
+"""Snapshots of facts and edges: after any change the edges are those of a full run, and only what it reaches is resolved again."""
+
+from collections import Counter
+from datetime import datetime
+
+from callweft.plans import sample
+from callweft.plans.refresh import Snapshot
+from callweft.plans.resolve import Resolver
+from callweft.sources.facts import Facts
+
+FIRST = {
+    "/w/Base.cls": "public virtual class Base { public virtual Item get() { return null; } public Integer size { get { return 1; } } }",
+    "/w/Kid.cls": "public class Kid extends Base { }",
+    "/w/Item.cls": "public class Item { public void run(Integer i) { } public Item next() { return this; } }",
+    "/w/Far.cls": "public class Far { void a(Kid k) { k.get().run(1); Integer s = k.size; } }",
+    "/w/Near.cls": "public class Near { void b() { Item i = new Item(); i.next().run(2); } void c(Object o) { o.lonely(); } }",
+    "/w/Alone.cls": "public class Alone { void d() { helper(); } void helper() { } void lonely() { } }",
+    "/w/Save.cls": "public class Save { void e(Thing__c t) { insert t; } }",
+    "/w/On.trigger": "trigger On on Thing__c (after insert) { new Near().b(); }",
+}
+
+
+def listing(spark, texts, changed=()):
+    rows = [(p, t, datetime(2024, 1, 2 if p in changed else 1), len(t)) for p, t in texts.items()]
+    return spark.createDataFrame(rows, "path string, text string, mtime timestamp, size long")
+
+
+def whole(spark, texts):
+    return Counter(map(tuple, Resolver(Facts(sample.frame(spark, texts))).edges.collect()))
+
+
+def test_edges_follow_changes(spark, tmp_path):
+    snapshot = Snapshot(spark, str(tmp_path / "snap"))
+    done = snapshot.refresh(listing(spark, FIRST))
+    assert {r.kind: r.n for r in done.counts.collect()} == {"parsed": 8, "cached": 0, "vanished": 0, "resolved": 8}
+
+    # A body changes: no other file can notice.
+    texts = FIRST | {"/w/Alone.cls": FIRST["/w/Alone.cls"].replace("helper(); }", "helper(); helper(); }")}
+    done = snapshot.refresh(listing(spark, texts))
+    assert {r.kind: r.n for r in done.counts.collect()} == {"parsed": 1, "cached": 7, "vanished": 0, "resolved": 1}
+    assert Counter(map(tuple, done.edges.collect())) == whole(spark, texts)
+
+    # A class gets another parent, a trigger vanishes, a second class declares a method that only one had, a class comes.
+    texts = texts | {
+        "/w/Kid.cls": "public class Kid extends Other { }",
+        "/w/Other.cls": "public virtual class Other { public Near get() { return null; } void lonely() { } }",
+    }
+    del texts["/w/On.trigger"]
+    done = snapshot.refresh(listing(spark, texts, ("/w/Kid.cls",)))
+    assert Counter(map(tuple, done.edges.collect())) == whole(spark, texts)
+    counts = {r.kind: r.n for r in done.counts.collect()}
+    assert (counts["parsed"], counts["cached"], counts["vanished"]) == (2, 6, 1) and counts["resolved"] < 8
+    assert done.edges.filter("target_class = 'on'").count() == 0 and done.edges.filter("caller_class = 'far' and target_class = 'other'").count() == 1
