@@ -120,7 +120,7 @@ def test_faults_of_cut_files_match_brute_force(spark):
 def test_facts_before_a_fault_stay(spark):
     facts = Facts(sample.frame(spark, {"/w/X.cls": "public class X { void a() { B.make(); }\n void b() { C.go(; }", "/w/E.cls": "", "/w/N.cls": None}))
     assert {(r.method, r.name) for r in facts.calls.collect()} >= {("a", "make")}
-    assert {(r.path, r.message) for r in facts.errors().collect()} == {("/w/X.cls", "Line 2:23: unexpected '}'")}
+    assert {(r.path, r.message) for r in facts.errors().collect()} == {("/w/X.cls", "Line 2:19: unexpected '}'")}
 
 
 def test_pieces_are_the_text(spark):
