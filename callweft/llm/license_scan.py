@@ -9,8 +9,10 @@ and after them is scanned again until nothing is confirmed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
@@ -113,7 +115,13 @@ COMMON = frozenset("a an and any are as at be by can for from if in is its it ma
 NAME_WORDS = frozenset(("lesser", "library", "affero"))
 #: Punctuation that ends a wording.
 STOP = re.compile(r"[^\w\s]*")
+#: Windows of a long block, in longest licenses, and the parts whose result a worker remembers.
+WINDOW_LICENSES = 3
+REMEMBERED = 1024
 WORD = re.compile(r"[\w.+-]*\w")
+LINE = re.compile(r"[^\n]+")
+#: What ends in a stop before a capital letter; only looked at where a line as a whole fits no template.
+SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s+[A-Z])|$)")
 
 
 class Scanner:
@@ -129,6 +137,12 @@ class Scanner:
                 raw = " ".join(wording.lower().split()).encode()
                 dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.templates.append((name, WORD.findall(wording.lower()), zstandard.ZstdCompressor(level=19, dict_data=dictionary)))
+        #: No license is longer, in words: all of a template and the words that may be added to it.
+        self.longest = max(len(wanted) * (100 + 2 * MOST_MISSING_PCT) // 100 + 1 for _, wanted, _ in self.templates)
+        #: Wordings that are no part of a longer one: a line that holds one needs no look at its neighbours.
+        joined = [" ".join(wanted) for _, wanted, _ in self.templates]
+        self.whole = {one for one in joined if not any(f" {one} " in f" {other} " for other in joined if other != one)}
+        self.remembered = lru_cache(REMEMBERED)(self.best)
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
         """Start and end of the runs of lines with template words, over gaps of up to ``GAP`` other lines.
@@ -185,23 +199,54 @@ class Scanner:
         return sorted(found for start, end in self.blocks(text or "") for found in self.within(text, start, end))
 
     def within(self, text: str, start: int, end: int) -> Iterator[tuple]:
-        """The licenses of text[start:end]: the best one, then those before and after its words; line by line where none fits."""
+        """The licenses of text[start:end]: first lines that hold a whole wording to the word, then windows of what is left."""
+        at = start
+        for line in LINE.finditer(text[start:end]) if "\n" in text[start:end] else ():
+            found = self.cue.search(line[0]) and self.remembered(line[0])
+            if found and found[4] == found[5] == 0 and " ".join(WORD.findall(line[0][found[0] : found[1]].lower())) in self.whole:
+                first, last = (start + line.start() + place for place in found[:2])
+                yield first, last, *found[2:]
+                yield from self.windows(text, at, first)
+                at = last
+        yield from self.windows(text, at, end)
+
+    def windows(self, text: str, start: int, end: int) -> Iterator[tuple]:
+        """The licenses of text[start:end], window by window.
+
+        A window is ``WINDOW_LICENSES`` times the longest license. A license counts in the window in which it begins more than
+        the longest one before the end, so it stands in it whole; the next window begins there or after the last
+        license. So the time is linear in the length.
+        """
+        places = [m.start() for m in WORD.finditer(text, start, end)]
+        first = 0
+        while len(places) - first > WINDOW_LICENSES * self.longest:
+            last = first + WINDOW_LICENSES * self.longest
+            border = following = places[last - self.longest]
+            for found in self.inside(text, start, places[last]):
+                if found[0] < border:
+                    yield found
+                    following = max(following, found[1])
+            start, first = following, bisect_left(places, following)
+        yield from self.inside(text, start, end)
+
+    def inside(self, text: str, start: int, end: int) -> Iterator[tuple]:
+        """The licenses of one window: the best one, then those before and after its words; where none fits, line by line, then sentence by sentence."""
         todo = [(start, end)]
         while todo:
             start, end = todo.pop()
             part = text[start:end]
             if not self.cue.search(part):
                 continue
-            found = self.best(part)
+            found = self.remembered(part)
             if found:
                 yield (start + found[0], start + found[1], *found[2:])
                 todo += [(start, start + found[0]), (start + found[1], end)]
-            elif "\n" in part:
-                for line in re.finditer("[^\n]+", part):
-                    todo.append((start + line.start(), start + line.end()))
+            else:
+                pieces = list((LINE if "\n" in part else SENTENCE).finditer(part))
+                todo += [(start + m.start(), start + m.end()) for m in pieces if m[0] != part]
 
     def best(self, block: str):
-        """(start, end, license, saved, missing, added) of the best confirmed template, or None."""
+        """(start, end, license, saved, missing, added) of the best confirmed template (the earlier one of two that save as much), or None."""
         raw = " ".join(block.lower().split()).encode()
         places = list(WORD.finditer(block))
         words = [m[0].lower() for m in places]
@@ -225,7 +270,8 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
     """doc_id, start, end (code points), license, saved, n_missing, n_added of every confirmed license.
 
     A block of lines can hold several, each with the span of its own words. Blocks are runs of lines with license words; JVM regular expressions leave other documents out before
-    any Python runs. ``saved`` is the share of compressed bytes that the template saves, of the block or what other licenses leave of it;
+    any Python runs. ``saved`` is the share of compressed bytes that the template saves, of the block (its window, if it is long) or what other
+    licenses leave of it; of templates that save as much the earlier one wins;
     ``n_missing`` and ``n_added`` are the exact wording differences in words. Null and empty texts have no
     blocks, null doc_id stays null, repeated rows each give rows, an empty table gives no rows, other
     columns are ignored.

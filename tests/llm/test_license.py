@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from difflib import SequenceMatcher
 
 from odd import DOC_SCHEMA, odd_docs
@@ -84,6 +85,27 @@ def test_added_name_words_make_another_license():
     assert s.scan(TEMPLATES["GPL-3.0"][1].replace("General", "Library General")) == []
 
 
+def test_many_licenses_take_linear_time():
+    s, rng = Scanner(), random.Random(5)
+    every = [(name, wording) for name, wordings in TEMPLATES.items() for wording in wordings]
+    short = [(name, wording) for name, wording in every if len(wording.split()) < 20]
+    for some, between, n in ((short, "\n", 5000), (every, "\n\n", 300), (short, " ", 300)):
+        picks = [rng.choice(some) for _ in range(n)]
+        at, want = 0, []
+        for name, wording in picks:
+            want.append((at, name))
+            at += len(wording) + len(between)
+        text = between.join(wording for _, wording in picks)
+        began = time.time()
+        found = s.scan(text)
+        assert [(x[0], x[2]) for x in found] == want
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False)) and time.time() - began < 60
+    notice = "Released under the MIT License."
+    assert len(s.scan("\n".join([notice] * 100_000))) == 100_000
+    assert len(s.scan("\n".join(f"Copyright {i} A{i}. {notice}" for i in range(500)))) == 500
+    assert len(s.scan(" ".join(f"Copyright {i} A{i}. {notice}" for i in range(500)))) == 500
+
+
 def brute_best(lines):
     """The wording with the fewest differing words over every range of lines, without compression."""
     words = [re.findall(r"[\w.+-]*\w", line.lower()) for line in lines]
