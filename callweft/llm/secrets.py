@@ -20,6 +20,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 RUN = "A-Za-z0-9+/_=-"
 CANDIDATE = rf"(?<![{RUN}])[{RUN}]{{20,}}"
 WINDOW = 20
+#: Spans that ``redact`` works through at a time, so that growing arrays stay short.
+BLOCK = 256
 SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
 #: Character class of a string -> least window entropy in bits; the first class that fits counts. About
 #: 1 % of random strings of 20 characters stay below, but for letters and names with separators, which words reach too.
@@ -170,23 +172,41 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def reached(blocks: Column) -> Column:
+    """0, and the largest end of the spans up to each block."""
+    last = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda x: x["e"])))
+    return F.aggregate(last, F.array(F.lit(0)), lambda out, e: F.concat(out, F.array(F.greatest(F.element_at(out, -1), e))))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every secret span replaced by ``mark``; same columns, n_chars follows.
 
-    Overlapping spans become one mark. Rows without a secret are unchanged, null text included.
+    Overlapping spans become one mark. Spans are replaced in blocks, each in its own part of the text. Rows without a secret are unchanged, null text included.
     """
     found_in = with_spans(docs).select("row", "t", F.array_sort(F.concat("base", "added")).alias("spans"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, x):
-        gap = F.when(x["s"] >= acc["at"], F.concat(F.substring(F.col("t"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def pieces(block, begin, end):
+        """The text from one place to another with the spans of a block replaced, in pieces."""
+        nothing = F.array().cast("array<string>")
+        state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+        def step(acc, x, part):
+            gap = F.concat(F.substring(part, acc["at"] - begin + 1, x["s"] - acc["at"]), F.lit(mark))
+            return state(F.greatest(acc["at"], x["e"]), F.concat(acc["out"], F.when(x["s"] >= acc["at"], F.array(gap)).otherwise(nothing)))
+
+        text = F.substring(F.col("t"), begin + 1, end - begin)
+        return once(text, lambda part: F.aggregate(block, state(begin, nothing), lambda acc, x: step(acc, x, part), lambda acc: acc["out"]))
 
     def cleaned(spans):
-        end = lambda acc: F.concat(acc["out"], F.substring(F.col("t"), acc["at"] + 1, F.char_length("t")))
-        return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(F.col("row.text"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda i: F.slice(spans, i * BLOCK + 1, BLOCK))
+        return once(blocks, lambda b: once(reached(b), lambda ends: joined_pieces(b, ends)))
+
+    def joined_pieces(blocks, ends):
+        done = F.flatten(F.transform(blocks, lambda b, i: pieces(b, F.get(ends, i), F.get(ends, i + 1))))
+        rest = F.substring(F.col("t"), F.element_at(ends, -1) + 1, F.char_length("t"))
+        return F.concat(F.array_join(done, ""), rest)
 
-    new = found_in.select("row", once(F.col("spans"), cleaned).alias("new"))
+    new = found_in.select("row", F.when(F.size("spans") > 0, once(F.col("spans"), cleaned)).otherwise(F.col("row.text")).alias("new"))
     return new.select(
         *[
             F.col("new").alias(c) if c == "text" else F.char_length("new").cast(kind).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)

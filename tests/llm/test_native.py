@@ -192,3 +192,14 @@ def test_spans_of_many_matches_take_linear_time(spark):
             spans.append(f"assign:{at}:{at + len(value)}")
         at += len(value) + 1
     assert row.n_assign == len(spans) and row.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
+def test_redaction_of_many_spans_takes_linear_time(spark):
+    n = 40_000
+    text = "é " + "".join(f"password = abcd{i:05d} AKIA{'Q' * 16}\n" for i in range(n)) + "end"
+    row = sec.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.text == "é " + "[SECRET] [SECRET]\n" * n + "end"
+    # A span that reaches over the end of a block of spans: assignments that begin inside others' values.
+    text = "".join(f"token=AKIA{'B' * 18}{i:04d}, " for i in range(1000))
+    row = sec.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.text == "[SECRET], " * 1000
