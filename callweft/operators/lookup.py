@@ -72,6 +72,18 @@ def best_match(pairs: DataFrame, request: list[str], score: Column, tie: str) ->
     return scored.groupBy(*request).agg(best).select(*request, "best.score", *[f"best.{c}" for c in rest])
 
 
+def best_number(pairs: DataFrame, request: list[str], score: Column, number: str, scores: range) -> DataFrame:
+    """(request, score, number): ``best_match`` of candidates that are numbers, for scores of a few fixed values.
+
+    The least candidate of each score is a number of fixed size, so pairs are hashed into one small row a request; the
+    maximum of a struct would sort all of them, with all their columns.
+    """
+    least = [F.min(F.when(score == n, F.col(number))).alias(f"_{n}") for n in scores]
+    found = pairs.groupBy(*request).agg(*least)
+    best = F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(n).alias("score"), F.col(f"_{n}").alias(number))) for n in reversed(scores)])
+    return found.withColumn("_best", best).filter("_best is not null").select(*request, "_best.score", f"_best.{number}")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs whose arrays ``a`` and ``b`` share an element, joined on the elements rather than by trying all pairs."""
     one = left.withColumn("_e", F.explode(F.array_distinct(a)))
