@@ -1,0 +1,35 @@
+"""Traces of callers resolve only the files that can have them, with the rows of a trace over all edges."""
+
+from callweft.plans import sample
+from callweft.plans.graph import CodeGraph
+
+FILES = {
+    "/w/Shape.cls": "public interface Shape { Decimal area(); }",
+    "/w/Square.cls": "public virtual class Square { public Decimal area() { return 1; } }",
+    "/w/Heir.cls": "public class Heir extends Square implements Shape { }",
+    "/w/Uses.cls": "public class Uses { void u(Shape s) { s.area(); } }",
+    "/w/Above.cls": "public class Above { void up(Uses x) { x.u(null); } }",
+    "/w/Thing.trigger": "trigger Things on Thing__c (after insert) { Late.run(); }",
+    "/w/Late.cls": "public class Late { public static void run() { } }",
+    "/w/Base.cls": "public virtual class Base { protected Thing__c held; protected Integer size { get { return 1; } } }",
+    "/w/Kid.cls": "public class Kid extends Base { void save() { insert held; } Integer read() { return this.size; } }",
+    "/w/Names.cls": "public class Names { public static final String WHICH = 'Made'; }",
+    "/w/Maker.cls": "public class Maker { void make() { Type t = Type.forName(Names.WHICH); } }",
+    "/w/Made.cls": "public class Made { public void execute(QueueableContext c) { } void odd() { throw new Bad(); } }",
+    "/w/Sends.cls": "public class Sends { void send() { System.enqueueJob(new Made()); } }",
+    "/w/Bad.cls": "public class Bad extends Exception { }",
+    "/w/F.flow-meta.xml": "<Flow><start><object>Thing__c</object><recordTriggerType>Create</recordTriggerType><triggerType>RecordAfterSave</triggerType></start><actionCalls><actionName>Late.run</actionName><actionType>apex</actionType></actionCalls></Flow>",
+}
+OTHERS = {f"/w/O{i}.cls": f"public class O{i} {{ void a{i}() {{ b{i}(); }} void b{i}() {{ }} }}" for i in range(40)}
+TARGETS = ("Square#area", "Late#run", "Made#<init>", "Made#execute", "Base#(get size)", "Bad#(exception)")
+
+
+def test_callers_need_few_files(spark):
+    few, every = (CodeGraph(sample.frame(spark, FILES | OTHERS)) for _ in range(2))
+    some = few.open_trace(*TARGETS).nodes.drop("seq").collect()
+    assert "edges" not in vars(few) and "_used" not in vars(few.facts)
+    assert every.edges.filter("caller_class = 'o7'").count() == 1
+    assert sorted(map(str, some)) == sorted(map(str, every.open_trace(*TARGETS).nodes.drop("seq").collect()))
+    found = {(r.root, r.node) for r in some}
+    want = [("square#area", "above#up"), ("late#run", "kid#save"), ("late#run", "flow:f#(file)"), ("made#execute", "sends#send"), ("base#(get size)", "kid#read"), ("bad#(exception)", "made#odd")]
+    assert found >= set(want), [w for w in want if w not in found]
