@@ -160,3 +160,12 @@ def test_sentence_spans_catch_planted_passages(spark):
     caught, alone = len(found & carriers) / len(carriers), 1 - len(found - carriers) / (500 - len(carriers))
     print(f"caught {caught:.3f}, clean documents left alone {alone:.3f}")
     assert caught >= 0.95 and alone == 1.0
+
+
+def test_every_run_of_one_sentence_on_demand(spark):
+    """By itself one sentence said again and again has a run where it starts only, as in the query's SQL."""
+    docs = spark.createDataFrame(doc_rows(["Again. " * 80, "Before. " + "Again. " * 80, "Again. " * 20, None]), DOC_SCHEMA)
+    spans = lambda **kw: sorted(tuple(r) for r in sd.sentence_dedup(docs, **kw).collect())
+    assert spans() == [(0, 0, 25, 0, "first"), (1, 1, 26, 0, "repeat")]
+    assert spans(every=True) == [(0, 0, 25, 0, "first"), (0, 1, 80, 0, "repeat"), (1, 1, 81, 0, "repeat")]
+    assert {r.doc_id: r.text for r in sd.without_repeats(docs, every=True).collect()} == {0: "Again.", 1: "Before.", 2: "Again. " * 20, 3: None}
