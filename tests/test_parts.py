@@ -1,0 +1,51 @@
+"""What few files can tell is read from those files, with the rows that the graph of all files gives."""
+
+import pytest
+
+from callweft.operators import reach
+from callweft.plans import sample
+from callweft.plans.graph import CodeGraph, key
+
+FILES = {
+    "/w/Base.cls": "public virtual class /* { */ Base { protected Thing__c held; public virtual void area() { } }",
+    "/w/Kid.cls": "public class Kid extends Base { void save() { insert held; Base b; b.area(); onlyThere(1); } }",
+    "/w/Heir.cls": "public class Heir extends Base { public override void area() { Late.run(); } }",
+    "/w/There.cls": "public class There { void onlyThere(Integer n) { new Last(); } }",
+    "/w/Last.cls": "public class Last { public Last() { } }",
+    "/w/Thing.trigger": "trigger Things on // (\n Thing__c (after insert) { Late.run(); }",
+    "/w/Late.cls": "public class Late { @AuraEnabled public static void run() { } }",
+    "/w/Queue.cls": "public class Queue extends Work implements Queueable { }",
+    "/w/Work.cls": "public virtual class Work { public void execute(QueueableContext c) { } }",
+    "/w/F.flow-meta.xml": "<Flow><start><object>Thing__c</object><recordTriggerType>Create</recordTriggerType><triggerType>RecordAfterSave</triggerType></start><subflows><flowName>G</flowName></subflows></Flow>",
+}
+OTHERS = {f"/w/O{i}.cls": f"public class O{i} {{ void a{i}() {{ b{i}(); }} void b{i}() {{ }} }}" for i in range(40)}
+
+
+@pytest.fixture(scope="module")
+def every(spark):
+    graph = CodeGraph(sample.frame(spark, FILES | OTHERS))
+    assert graph.edges.filter("caller_class = 'o7'").count() == 1
+    return graph
+
+
+@pytest.fixture()
+def few(spark):
+    graph = CodeGraph(sample.frame(spark, FILES | OTHERS))
+    yield graph
+    assert not {"facts", "resolver", "edges"} & set(vars(graph)), "all files were read"
+
+
+def test_callees_need_few_files(spark, few, every):
+    roots = few.methods_like(r"sav\w*").select(key("class_lc", "method_lc").alias("root"))
+    rows = lambda edges: {(r.node, r.depth) for r in reach.reach_depth(edges.filter("forward").select(key("caller_class", "caller_method").alias("caller"), key("target_class", "target_method").alias("callee")), roots).collect()}
+    found = few.edges_from(roots)
+    assert found.filter("caller_class like 'o%'").count() == 0
+    assert rows(found) == rows(every.edges) >= {("kid#save", 0), ("things#(trigger)", 1), ("base#area", 1), ("there#onlythere", 1), ("late#run", 2), ("last#<init>", 2), ("flow:g#(file)", 2)}
+
+
+def test_entry_points_and_flow_launches_need_few_files(few, every):
+    for table in ("entry_points", "flow_launches"):
+        got, want = (sorted(map(str, getattr(graph, table)().collect())) for graph in (few, every))
+        assert got == want and got, table
+    assert {(r.kind, r.label) for r in few.entry_points().collect()} >= {("async", "Work.execute"), ("aura", "Late.run"), ("trigger", "Things")}
+    assert [(r.caller, r.flow) for r in few.flow_launches().collect()] == [("kid#save", "F")]
